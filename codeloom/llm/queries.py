@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import syntax
+from codeloom.llm import provenance, syntax
 from codeloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = provenance.classify(table(spark, sf_dir, "source_files"))
+    return judged.where("NOT hand_written").select("file_id").distinct()
+
+
+def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the classifier on repositories that it was not fitted on."""
+    return provenance.train(table(spark, sf_dir, "source_files")).drop("weights")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = syntax.check_files(table(spark, sf_dir, "source_files").select("file_id", "relative_path", "content"))
     return checked.where("repair.edit_cost > 0").select("file_id").distinct()
@@ -17,5 +27,5 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(syntax.check_files(table(spark, sf_dir, "source_files")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates}
+QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates}
 SQL: dict[str, str] = {}
