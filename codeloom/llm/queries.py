@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import provenance, syntax
+from codeloom.llm import docpairs, provenance, syntax
 from codeloom.session import table
 
 
@@ -27,5 +27,14 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(syntax.check_files(table(spark, sf_dir, "source_files")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = docpairs.extract(table(spark, sf_dir, "chunks")).where("doc.description IS NOT NULL")
+    return described.select("chunk_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "chunks")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL: dict[str, str] = {}
