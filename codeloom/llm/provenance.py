@@ -210,9 +210,10 @@ def _fit(rows: pd.DataFrame) -> dict:
 
 def train(files: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """One row with the fitted model (see MODEL); the sample is bounded by ``rows``."""
+    share = min(1.0, 1.1 * rows / max(1, files.count()))
     sample = (
-        files.select("file_id", "repo_id", F.col("relative_path").alias("path"), "content")
-        .orderBy(F.xxhash64("file_id"), "file_id", "path")
+        files.where(F.pmod(F.xxhash64("file_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        .select("file_id", "repo_id", F.col("relative_path").alias("path"), "content")
         .limit(rows)
     )
 
