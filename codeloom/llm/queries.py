@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, provenance, syntax
+from codeloom.llm import docpairs, nearcopies, provenance, sentences, syntax
 from codeloom.session import table
 
 
@@ -27,6 +28,15 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid_rates(syntax.check_files(table(spark, sf_dir, "source_files")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearcopies.near_pairs(table(spark, sf_dir, "chunks"), "chunk_id", "source_text")
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.groups(table(spark, sf_dir, "chunks"), "chunk_id", "source_text").withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = docpairs.extract(table(spark, sf_dir, "chunks")).where("doc.description IS NOT NULL")
     return described.select("chunk_id").distinct()
@@ -36,5 +46,15 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "chunks")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    units = sentences.segment(documents).select("doc_id", F.explode("units.sent_end").alias("sent_end"))
+    return units.distinct()
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL: dict[str, str] = {}
