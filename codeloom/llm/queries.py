@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, nearcopies, provenance, sentences, syntax
+from codeloom.llm import docpairs, leakage, mixing, nearcopies, pieces, provenance, sentences, syntax
+from codeloom.llm.sql import SQL  # noqa: F401
 from codeloom.session import table
 
 
@@ -46,6 +47,39 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "chunks")).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.split_cells(table(spark, sf_dir, "chunks"), "chunk_id", "source_text", "start_line", with_text=False)
+    return cut.where("piece_no > 0").select("chunk_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_cells(table(spark, sf_dir, "chunks"), "chunk_id", "source_text", "start_line")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.report(_leaks(spark, sf_dir))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.decontaminate(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights")).copies
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights")).shares
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     units = sentences.segment(documents).select("doc_id", F.explode("units.sent_end").alias("sent_end"))
@@ -56,5 +90,10 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_validation": p1_validation, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p9_found": p9_found, "p9_sentences": p9_sentences}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_validation, p2_found, p2_rates, p4_found, p4_groups, p5_found, p5_pairs, p6_found, p6_pieces,
+        p7_found, p7_report, p7_cleaned, p8_mix, p8_shares, p9_found, p9_sentences,
+    )
+}
