@@ -41,8 +41,10 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+", re.ASCII)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
-#: Counters of the sketch (4 MB, whatever the input).
-SLOT_BITS = 20
+#: Counters of the sketch (4 million of two bytes, whatever the input).
+SLOT_BITS = 22
+#: Runs that a pair has to share in the inverted lists of heavy sets.
+SHARED = 4
 #: Boundaries that are weighed against each other.
 BOUNDARIES = (0, 4, 6, 8, 10, 12, 16, 20, 24, 32)
 #: Cost of verifying a candidate, in units of the cost of sending a key.
@@ -98,29 +100,34 @@ def signatures(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sketch(spark: SparkSession, signed: DataFrame) -> np.ndarray:
-    """Counts of all runs by the top bits of their hash; a fixed number of counters."""
+    """Counts of all runs by the top bits of their hash; a fixed number of saturating counters.
+
+    Counts only order the runs; that they saturate or collide makes no result wrong.
+    """
     slices, width = 64, 1 << (SLOT_BITS - 6)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
             if len(batch):
                 runs = np.frombuffer(b"".join(batch["runs"]), np.uint64)
-                total += np.bincount((runs >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+                at, seen = np.unique((runs >> np.uint64(64 - SLOT_BITS)).astype(np.int32), return_counts=True)
+                total[at] += seen.astype(np.int32)
         if total.any():
-            yield pd.DataFrame({"slice": range(slices), "counts": [np.minimum(total[k * width : (k + 1) * width], 2**31 - 1).astype(np.int32).tobytes() for k in range(slices)]})
+            small = np.minimum(total, 255).astype(np.uint8)
+            yield pd.DataFrame({"slice": range(slices), "counts": [small[k * width : (k + 1) * width].tobytes() for k in range(slices)]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for blob in part["counts"]:
-            total += np.frombuffer(blob, np.int32)
-        return pd.DataFrame({"slice": part["slice"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            total += np.frombuffer(blob, np.uint8)
+        return pd.DataFrame({"slice": part["slice"].iloc[:1], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
 
     kind = "slice int, counts binary"
     parts = signed.select("runs").mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).collect()
-    out = np.zeros(1 << SLOT_BITS, np.int32)
+    out = np.zeros(1 << SLOT_BITS, np.uint16)
     for row in parts:
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.int32)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint16)
     return out
 
 
@@ -135,6 +142,12 @@ def needed(n: int, threshold: float) -> int:
     return max(1, int(np.ceil(threshold * n - 1e-9)))
 
 
+def prefix(n: int, threshold: float, shared: int) -> int:
+    """Length of the prefix in which a match shares ``shared`` runs (or all it needs, if fewer)."""
+    c = needed(n, threshold)
+    return n - c + min(shared, c)
+
+
 class Plan(NamedTuple):
     boundary: int
     keys: int
@@ -147,9 +160,9 @@ def choose_boundary(sizes: dict[int, tuple[int, float, float]], threshold: float
     for b in BOUNDARIES:
         keys = cost = 0.0
         for n, (sets, single, double) in sizes.items():
-            p = n - needed(n, threshold) + 1
+            p, wide = prefix(n, threshold, SHARED), prefix(n, threshold, 2)
             if n <= b:
-                subsets = (p + 1) * p / 2
+                subsets = wide * (wide - 1) / 2
                 keys += sets * subsets
                 cost += sets * subsets + CANDIDATE_COST * double
             if n > b or n >= threshold * b:
@@ -176,8 +189,10 @@ def _size_statistics(signed: DataFrame, counts, threshold: float) -> dict[int, t
                 entry[0] += 1
                 if n <= top:
                     runs = np.frombuffer(blob, np.uint64)
-                    seen = np.sort(table[(runs >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])[: n - needed(n, threshold) + 2] - 1
-                    entry[1] += float(seen[:-1].sum()) / 2
+                    seen = np.sort(table[(runs >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]).astype(np.int64)[: prefix(n, threshold, SHARED)] - 1
+                    # Partners by single runs, of which most do not share enough others.
+                    entry[1] += float(seen.sum()) / (2 * SHARED)
+                    seen = seen[: prefix(n, threshold, 2)]
                     entry[2] += float((seen[:-1] * np.arange(len(seen) - 1, 0, -1)).sum()) / 20
         yield pd.DataFrame([(k, *v) for k, v in out.items()], columns=["n", "sets", "single", "double"])
 
@@ -221,18 +236,18 @@ def _send_keys(signed: DataFrame, counts, plan: Plan, buckets: int, threshold: f
                 if not n or cls in known:
                     continue
                 known.add(cls)
-                p = n - needed(n, threshold) + 1
                 ranked = _ranked(np.frombuffer(blob, np.uint64), table)
                 own = []
                 if n <= boundary:
-                    first = ranked[: p + 1]
-                    i, j = np.triu_indices(len(first), 1)
-                    # A lone run of a set of one has no 2-subset; it is its own key.
-                    own.append((first[i] * _A ^ first[j] * _B) * _MIX if len(first) > 1 else first * _MIX)
-                    if needed(n, threshold) < 2:
-                        own.append(first * _MIX)
+                    first = ranked[: prefix(n, threshold, 2)]
+                    if needed(n, threshold) < 2:  # one run is enough; it is its own key
+                        subset = first * _MIX
+                    else:
+                        i, j = np.triu_indices(len(first), 1)
+                        subset = (first[i] * _A ^ first[j] * _B) * _MIX
+                    own.append(subset | np.uint64(1))
                 if n > boundary or n >= threshold * boundary:
-                    own.append(ranked[:p])
+                    own.append(ranked[: prefix(n, threshold, SHARED)] & ~np.uint64(1))
                 for key in own:
                     keys.append(key)
                     places.append(np.full(len(key), len(classes), np.uint32))
@@ -249,7 +264,15 @@ def _send_keys(signed: DataFrame, counts, plan: Plan, buckets: int, threshold: f
 
 
 def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """Candidate pairs of classes from the inverted lists of each bucket, smaller class id first."""
+    """Candidate pairs of classes from the lists of each bucket, smaller class id first.
+
+    The lowest bit of a key tells 2-subsets of light sets (one in common makes a candidate) from
+    single runs (a pair needs as many in common as the smaller of its sets asks for).
+    """
+
+    def pack(found: list[np.ndarray]) -> pd.DataFrame:
+        rows, hits = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "need": rows[:, 2], "hits": hits.astype(np.int64)})
 
     def lists(blobs: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs["keys"]])
@@ -266,24 +289,21 @@ def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, cls, size = key[fresh], cls[fresh], size[fresh]
+        needs = np.where(key & 1, 1, np.minimum(SHARED, np.maximum(1, np.ceil(threshold * size - 1e-9).astype(np.int64))))
         at, step, found, held = np.arange(len(key)), 1, [], 0
         while len(at):
             at = at[at + step < len(key)]
-            near = (key[at] == key[at + step]) & (size[at] >= threshold * size[at + step] - 1e-9)
-            at = at[near]
+            at = at[(key[at] == key[at + step]) & (size[at] >= threshold * size[at + step] - 1e-9)]
             if len(at):
                 a, b = cls[at], cls[at + step]
-                pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-                found.append(pairs)
-                held += len(pairs)
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), needs[at]], 1))
+                held += len(at)
             step += 1
             if held > 1_000_000:
-                out = np.unique(np.concatenate(found), axis=0)
-                yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+                yield pack(found)
                 found, held = [], 0
         if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+            yield pack(found)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, parts = None, []
@@ -298,7 +318,8 @@ def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
             yield from lists(pd.concat(parts))
 
     spread = sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket")
-    return spread.mapInPandas(scan, "a long, b long").distinct()
+    met = spread.mapInPandas(scan, "a long, b long, need long, hits long")
+    return met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("hits").alias("hits")).where("hits >= need").select("a", "b")
 
 
 _FILTER_BITS = 22
