@@ -457,6 +457,8 @@ def _cpp(text: str, name: str, compat: bool) -> list[Symbol]:
             continue
         if s.tokens[k - 1] in _NOT_CALLED or s.get(k - 2) in (".", "->", "=", "return", ","):
             continue
+        if s.get(k - 2) == ":" and s.get(k - 3) not in ("public", "private", "protected"):
+            continue  # an initialiser of a constructor
         j = s.match[k] + 1
         while j < len(s.tokens) and s.tokens[j] not in ("{", ";", "}", "=") and j < k + 200:
             j = s.match.get(j, j) + 1

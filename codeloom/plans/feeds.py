@@ -13,6 +13,9 @@ from codeloom.session import table
 from codeloom.streaming import triggers
 
 
+HALF_HOUR = 30 * 60 * 1_000_000
+
+
 def language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("file_id", "relative_path").distinct()
     path = F.col("relative_path")
@@ -47,13 +50,13 @@ def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = triggers.debounce(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
+    rows = triggers.debounce(table(spark, sf_dir, "events"), "user_id", "ts", HALF_HOUR)
     return rows.select("user_id", "first_trigger", "fires_at", "triggers")
 
 
 def lock_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fires of the debounce that start a run of six hours, and those that are dropped."""
-    fires = triggers.debounce(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes").select("user_id", "fires_at")
+    fires = triggers.debounce(table(spark, sf_dir, "events"), "user_id", "ts", HALF_HOUR).select("user_id", "fires_at")
     return triggers.drop_while_running(fires, "user_id", "fires_at", 6 * 3600 * 1_000_000).select("user_id", "fires_at", "runs")
 
 

@@ -8,21 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEBOUNCE = "5 seconds"
+DEBOUNCE_MICROS = 5_000_000
 
 
-def debounce(triggers: DataFrame, key: str, ts: str, gap: str = DEBOUNCE) -> DataFrame:
-    """One row per run of triggers that are less than ``gap`` apart: key, first, last, fires_at, triggers.
+def debounce(triggers: DataFrame, key: str, ts: str, gap_micros: int = DEBOUNCE_MICROS) -> DataFrame:
+    """One row per run of triggers that are less than the gap apart: key, first, last, fires_at, triggers.
 
-    The same plan serves tables and streams (a stream needs a watermark on ``ts``); a trigger
-    exactly one gap after the last starts a new run.
+    The same plan serves tables and streams (a stream needs a watermark on ``ts``). A trigger exactly
+    one gap after the last starts a new run; a session window would take it in, so the window is one
+    microsecond shorter. Null keys and times take no part.
     """
-    window = F.session_window(F.col(ts), gap)
+    window = F.session_window(F.col(ts), f"{gap_micros - 1} microseconds")
     return (
         triggers.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
         .groupBy(F.col(key), window.alias("w"))
         .agg(F.count(F.lit(1)).alias("triggers"), F.min(ts).alias("first_trigger"), F.max(ts).alias("last_trigger"))
-        .select(key, "first_trigger", "last_trigger", F.col("w.end").alias("fires_at"), "triggers")
+        .select(key, "first_trigger", "last_trigger", (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("fires_at"), "triggers")
     )
 
 
