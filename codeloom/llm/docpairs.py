@@ -99,8 +99,27 @@ def rule(name: str, part: Parser, keep: bool = False) -> Parser:
     return parse
 
 
-def _later(holder: list) -> Parser:
-    return lambda text, at, memo: holder[0](text, at, memo)
+def balanced(opening: str, closing: str, inside: Parser) -> Parser:
+    """A bracketed span of any depth; ``inside`` reads what is no bracket. Not recursive, so depth
+    costs no stack."""
+
+    def parse(text: str, at: int, memo: dict):
+        if not text.startswith(opening, at):
+            return None
+        depth, at = 1, at + 1
+        while depth:
+            found = inside(text, at, memo)
+            if found is not None and found[0] > at:
+                at = found[0]
+            elif text.startswith(opening, at):
+                depth, at = depth + 1, at + 1
+            elif text.startswith(closing, at):
+                depth, at = depth - 1, at + 1
+            else:
+                return None
+        return at, ()
+
+    return parse
 
 
 _STRING = r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`'
@@ -108,10 +127,8 @@ _NAME = r"[A-Za-z_$\u0080-
 
 
 def _grammar(family: str) -> Parser:
-    inner: list = [None]
     text = token(rf"(?:[^()\"'`]|'(?=\w+\b(?!')))+")
-    params = rule("params", seq(token(r"\("), many(first(text, token(_STRING), token("['\"`]"), _later(inner))), token(r"\)")), keep=True)
-    inner[0] = params
+    params = rule("params", balanced("(", ")", many(first(text, token(_STRING), token("['\"`]")))), keep=True)
     blank = rule("blank", token(r"[ \t\f]*\r?\n"), keep=True)
     name = rule("name", token(_NAME), keep=True)
     types = maybe(token(r"\s*<[^(){};]*>"))
@@ -186,7 +203,7 @@ _TAG = re.compile(r"^\s*(?:[@\\][A-Za-z]+\b|:[A-Za-z]+(?:\s+[\w.*]+)*:|(?:Args|A
 #: Tags that introduce the description itself.
 _LEADING_TAG = re.compile(r"^\s*[@\\](?:brief|summary|description|desc|details|remarks|abstract|short)\b:?\s*")
 _CODE = re.compile(
-    r"[;{}]\s*$|^\s*[})\]]|:=|^\s*(?:return|if|for|while|switch|try|else|case|const|let|var|import|from|def|fn|func|await|throw|raise|break|continue|with|assert|defer|go|match|except|elif)\b.*[:({\[=;]\s*$|^\s*[\w.$>-]+(?:\[[^\]]*\])?\s*(?:[-+*/|&]?=)\s*\S|^\s*(?:await\s+)?[\w.$:>-]+\(.*\)[;,]?\s*$|^\s*(?:return|throw|raise|break|continue|pass|assert)\b(?!.*\s\w+\s\w+\s\w+\s\w+)|=>|^\s*//|^\s*#\s"
+    r"[;{}]\s*$|^\s*[})\]]|:=|^\s*(?:return|if|for|while|switch|try|else|case|const|let|var|import|from|def|fn|func|await|throw|raise|break|continue|with|assert|defer|go|match|except|elif)\b.*[:({\[=;]\s*$|^\s*[\w.$>-]+(?:\[[^\]]*\])?\s*(?:[-+*/|&]?=)\s*\S|^\s*(?:(?:await|defer|go|yield|return|throw|new|delete)\s+)?[\w.$:>-]+\(.*\)[;,]?\s*$|^\s*(?:return|throw|raise|break|continue|pass|assert)\b(?!.*\s\w+\s\w+\s\w+\s\w+)|=>|^\s*//|^\s*#\s"
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPACELESS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
@@ -200,7 +217,7 @@ def name_words(text: str) -> set[str]:
 
 def _plain_lines(comment: str) -> list[str]:
     """Lines of a comment or string without its markers."""
-    lines = comment.replace("\r", "").split("\n")
+    lines = comment.replace("\r", "").removesuffix("\n").split("\n")
     out = []
     for line in lines:
         line = line.strip()

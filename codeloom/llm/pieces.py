@@ -188,7 +188,8 @@ def plan(table: DataFrame) -> DataFrame:
         (F.row_number().over(order) - 1).alias("piece_no"),
         (F.col("cut") - F.col("back")).alias("start"),
         F.coalesce(after, F.col("size")).alias("end"),
-        (F.col("line") - F.col("back_lines") + 1).alias("first_line"),
+        # The line of a cut inside a line is itself among the shared ones.
+        (F.col("line") - F.col("back_lines") + 1 + F.when((F.col("ended") == 0) & (F.col("back_lines") > 0), 1).otherwise(0)).alias("first_line"),
         F.coalesce(line_after, F.col("feeds") + 1).alias("last_line"),
         F.col("back_lines").alias("shared_lines"),
     )

@@ -81,9 +81,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    units = sentences.segment(documents).select("doc_id", F.explode("units.sent_end").alias("sent_end"))
-    return units.distinct()
+    return sentences.boundaries(table(spark, sf_dir, "documents")).select("doc_id", "sent_end").distinct()
 
 
 def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,18 @@ item_grams AS (
     SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM item_lists))
 """
 
+_SHINGLES = r"""
+WITH words AS (SELECT chunk_id, list_transform(regexp_extract_all(source_text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ws
+  FROM (SELECT DISTINCT chunk_id, source_text FROM chunks WHERE chunk_id IS NOT NULL AND source_text IS NOT NULL)),
+runs AS (SELECT DISTINCT chunk_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT chunk_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM words)),
+sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY chunk_id),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM runs a JOIN runs b ON a.run = b.run AND a.chunk_id < b.chunk_id GROUP BY a.chunk_id, b.chunk_id)
+"""
+
 SQL = {
+    "p4_found": _SHINGLES
+    + """SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)
+    UNION SELECT a.chunk_id, b.chunk_id FROM chunks a JOIN chunks b ON a.source_text = b.source_text AND a.chunk_id < b.chunk_id""",
     "p6_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(source_text) > 8000 OR length(source_text) - length(replace(source_text, chr(10), '')) + 1 > 150",
     "p7_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (g)",
 }
