@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.graph import first_wins
+
 DEFAULT_TOKENS, CHARS_PER_TOKEN, SEEDS = 4_000, 4, 20
 EMPTY_BUNDLE = "No relevant code found for this task."
 
@@ -14,18 +16,25 @@ def budget_chars(max_tokens: int = DEFAULT_TOKENS) -> int:
 
 
 def first_occurrences(rows: DataFrame, group: list[str], key: list[str], rank: list[Column]) -> DataFrame:
-    """First row of each key within a group by rank."""
-    w = Window.partitionBy(*group, *key).orderBy(*rank)
-    return rows.withColumn("_cl_rn", F.row_number().over(w)).where("_cl_rn = 1").drop("_cl_rn")
+    """First row of each key within a group by rank.
+
+    An aggregation with a partial step per task: a text with very many copies costs one row per task.
+    """
+    return first_wins(rows, [*group, *key], rank)
 
 
-def fill_seeds(rows: DataFrame, group: list[str], rank: list[Column], size: Column, budget: int) -> DataFrame:
+def fill_seeds(rows: DataFrame, group: list[str], rank: list[Column], size: Column, budget: int, parts: int = 16) -> DataFrame:
     """Rows in rank order up to the first that would overflow the budget, with ``used``.
 
-    Sizes are not negative, so the running sum is monotone and stopping is a filter on it.
+    Sizes are not negative, so the running sum is monotone and stopping is a filter on it. A group
+    is first cut in ``parts``: a row that overflows the budget within its part alone is behind the
+    stop in the whole group, so only a bounded rest of a hot group is summed up in one task.
     """
+    part = F.pmod(F.xxhash64(*rank), F.lit(parts))
+    inner = Window.partitionBy(*group, "_cl_part").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
+    rest = rows.withColumn("_cl_part", part).withColumn("_cl_used", F.sum(size).over(inner)).where(F.col("_cl_used") <= budget).drop("_cl_part", "_cl_used")
     w = Window.partitionBy(*group).orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return rest.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
 def _fold(items: Column, used: Column, budget: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys of the node tables.
@@ -26,6 +26,13 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"_cl._row.{c}").alias(c) for c in rest])
 
 
+def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key, the first in ``order``."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min(F.struct(*[o.alias(f"_o{k}") for k, o in enumerate(order)], F.struct(*rest).alias("_row"))).alias("_cl")
+    return rows.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"_cl._row.{c}").alias(c) for c in rows.columns])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column], keep_on_match: tuple[str, ...] = ()) -> DataFrame:
     """Existing rows replaced by incoming ones of the same key; new keys added.
 
@@ -121,9 +128,3 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     for end in ("caller_file", "callee_file"):
         kept = kept.join(files.select("repo_id", F.col("file_path").alias(end)), ["repo_id", end], "left_anti")
     return left, kept
-
-
-def row_number_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row per key by a window; for bounded groups whose whole row is needed in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_cl_rn", F.row_number().over(w)).where("_cl_rn = 1").drop("_cl_rn")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import SOURCE_PATH_PATTERN
+from codeloom.operators.joins import salted_join
 
 #: Sequence numbers of one block are merged within a task; longer runs are stitched across blocks.
 BLOCK = 1 << 16
@@ -188,9 +189,6 @@ class IncrementalRunner:
 
 # --- the change feed and its checkpoints ---------------------------------------------------
 
-ON_TIME, LATE = "t", "l"
-
-
 def distinct_changes(changes: DataFrame) -> DataFrame:
     """One row per (repo_id, commit_sha, status, path, old_path): the one with the smallest
     ingested_at (then change_id). Changes without a repository are left out."""
@@ -228,7 +226,7 @@ def last_sequence(changes: DataFrame, checkpoints: DataFrame) -> DataFrame:
     commits = changes.where("repo_id IS NOT NULL").groupBy("repo_id", "commit_sha").agg(F.max("seq").alias("seq"))
     named = checkpoints.where("last_commit <> ''").select("repo_id", F.lower("last_commit").alias("_cl_sha"))
     return (
-        commits.join(named, "repo_id")
+        salted_join(commits, named, ["repo_id"], [F.col("commit_sha")])
         .where(F.lower("commit_sha").startswith(F.col("_cl_sha")))
         .groupBy("repo_id")
         .agg(F.max("seq").alias("last_seq"))
@@ -236,16 +234,19 @@ def last_sequence(changes: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def checkpoint_intervals(state: DataFrame, feed_start: int = -(1 << 31)) -> DataFrame:
-    """Processed numbers of a checkpoint as intervals of its on-time lane.
+    """Processed numbers of a checkpoint as one interval of its on-time lane; empty (lo > hi) where
+    last_commit names nothing.
 
     A row that arrived after the checkpoint was written belongs to the late lane of its
     repository, in which nothing is processed: its number is a gap although a higher one is
     done.
     """
-    return state.where("last_seq IS NOT NULL").select(
-        F.concat(F.lit(ON_TIME), "repo_id").alias("group_key"),
-        F.lit(feed_start).cast("long").alias("lo"),
-        F.col("last_seq").cast("long").alias("hi"),
+    known = F.col("last_seq").isNotNull()
+    return state.select(
+        "repo_id",
+        "updated_at",
+        F.when(known, F.lit(feed_start)).otherwise(0).cast("long").alias("lo"),
+        F.when(known, F.col("last_seq")).otherwise(-1).cast("long").alias("hi"),
     )
 
 
@@ -254,21 +255,16 @@ def pending_changes(changes: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
     The available numbers of a repository are split into two lanes, rows that had arrived when
     the checkpoint was written and rows that came later. Subtracting the checkpoint's processed
-    intervals from both lanes leaves the gaps; of them, on-time changes whose path is among
-    processed_files are done too. Each repository has one open-ended processed interval, so the
-    subtraction is one comparison after an equi-join; nothing is collected per repository.
+    interval from its lane leaves the gaps; of them, on-time changes whose path is among
+    processed_files are done too. A checkpoint has one interval per repository, so the subtraction
+    is one comparison after a salted equi-join; nothing is collected per repository.
     """
     latest = latest_checkpoints(checkpoints)
     state = latest.join(last_sequence(changes, latest), "repo_id", "left")
-    spans = checkpoint_intervals(state).select("group_key", "lo", "hi")
-    moments = state.select("repo_id", "updated_at")
     files = latest.select("repo_id", F.explode("processed_files").alias("path")).where("path IS NOT NULL").distinct()
-    feed = relevant(distinct_changes(changes)).join(moments, "repo_id", "left")
+    feed = salted_join(relevant(distinct_changes(changes)), checkpoint_intervals(state), ["repo_id"], [F.col("commit_sha"), F.col("path")], "left")
     on_time = F.coalesce(F.col("ingested_at") <= F.col("updated_at"), F.lit(False))
-    feed = feed.withColumn("_cl_on_time", on_time).withColumn(
-        "_cl_lane", F.concat(F.when(F.col("_cl_on_time"), ON_TIME).otherwise(LATE), "repo_id")
-    )
-    covered = (F.col("_cl_lane") == F.col("group_key")) & F.col("seq").between(F.col("lo"), F.col("hi"))
-    gaps = feed.join(spans, covered, "left_anti")
+    feed = feed.withColumn("_cl_on_time", on_time)
+    gaps = feed.where(~(F.col("_cl_on_time") & F.coalesce(F.col("seq").between(F.col("lo"), F.col("hi")), F.lit(False))))
     listed = files.withColumn("_cl_on_time", F.lit(True))
-    return gaps.join(listed, ["repo_id", "path", "_cl_on_time"], "left_anti").drop("_cl_lane", "_cl_on_time")
+    return gaps.join(listed, ["repo_id", "path", "_cl_on_time"], "left_anti").drop("_cl_on_time", "lo", "hi")
