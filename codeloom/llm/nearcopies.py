@@ -47,8 +47,12 @@ SLOT_BITS = 22
 SHARED = 4
 #: Boundaries that are weighed against each other.
 BOUNDARIES = (0, 4, 6, 8, 10, 12, 16, 20, 24, 32)
-#: Cost of verifying a candidate, in units of the cost of sending a key.
-CANDIDATE_COST = 25.0
+#: Costs in units of sending a key (8 bytes): a pair that meets in a list is a row of 32 bytes that
+#: is shuffled and summed up; a candidate is verified on both sets.
+MEETING_COST, CANDIDATE_COST = 4.0, 25.0
+#: Share of the meetings in lists that become candidates, and of the partners of a run that share a
+#: second given run; rough, they only steer the boundary.
+SURVIVING, TOGETHER = 0.02, 0.05
 #: Keys of one bucket, about (8 bytes each).
 BUCKET_KEYS = 1_000_000
 
@@ -154,8 +158,9 @@ class Plan(NamedTuple):
 
 
 def choose_boundary(sizes: dict[int, tuple[int, float, float]], threshold: float) -> Plan:
-    """Cheapest boundary. ``sizes``: by set size (number of sets, expected partners in the lists of
-    single runs, expected partners in the lists of 2-subsets)."""
+    """Cheapest boundary. ``sizes``: by set size (number of sets, expected meetings in the lists of
+    single runs, expected meetings in the lists of 2-subsets). Meetings grow with the square of the
+    number of sets and keys do not, so the boundary rises with the data."""
     best = None
     for b in BOUNDARIES:
         keys = cost = 0.0
@@ -167,7 +172,7 @@ def choose_boundary(sizes: dict[int, tuple[int, float, float]], threshold: float
                 cost += sets * subsets + CANDIDATE_COST * double
             if n > b or n >= threshold * b:
                 keys += sets * p
-                cost += sets * p + (CANDIDATE_COST * single if n > b else 0)
+                cost += sets * p + ((MEETING_COST + SURVIVING * CANDIDATE_COST) * single if n > b else 0)
         if best is None or cost < best[0]:
             best = cost, Plan(b, int(keys))
     return best[1] if best else Plan(0, 0)
@@ -190,10 +195,9 @@ def _size_statistics(signed: DataFrame, counts, threshold: float) -> dict[int, t
                 if n <= top:
                     runs = np.frombuffer(blob, np.uint64)
                     seen = np.sort(table[(runs >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]).astype(np.int64)[: prefix(n, threshold, SHARED)] - 1
-                    # Partners by single runs, of which most do not share enough others.
-                    entry[1] += float(seen.sum()) / (2 * SHARED)
+                    entry[1] += float(seen.sum()) / 2
                     seen = seen[: prefix(n, threshold, 2)]
-                    entry[2] += float((seen[:-1] * np.arange(len(seen) - 1, 0, -1)).sum()) / 20
+                    entry[2] += float((seen[:-1] * np.arange(len(seen) - 1, 0, -1)).sum()) * TOGETHER / 2
         yield pd.DataFrame([(k, *v) for k, v in out.items()], columns=["n", "sets", "single", "double"])
 
     rows = (
