@@ -14,6 +14,7 @@ from codeloom.operators import bundle, changes, chunking, graph, lookup, search
 from codeloom.parsing.extract import parse_files
 from codeloom.session import cut_lineage
 from codeloom.sources import registry
+from codeloom.sources.progress import Progress
 from codeloom.sources.tables import Tables
 from codeloom.sources.walk import MAX_FILE_BYTES, read_files, walk_repo
 
@@ -83,34 +84,94 @@ class Engine:
 
     # indexing
 
-    def index(self, repo_id: str, root: str, mode: str = "full", head: str | None = None, changed: DataFrame | None = None, max_file_bytes: int = MAX_FILE_BYTES) -> IndexResult:
-        """Indexes a checkout. ``incremental`` needs ``changed`` (status, path, old_path) and falls
-        back to a full run without a baseline; ``resume`` skips files of the checkpoint."""
+    def index(
+        self, repo_id: str, root: str, mode: str = "full", head: str | None = None, changed: DataFrame | None = None,
+        max_file_bytes: int = MAX_FILE_BYTES, batch_files: int | None = None,
+    ) -> IndexResult:
+        """Indexes a checkout.
+
+        ``incremental`` needs ``changed`` (status, path, old_path) and falls back to a full run
+        without a baseline; ``resume`` skips files of the checkpoint. The files are one plan; with
+        ``batch_files`` they are written in batches of that many, each with its checkpoint, so that a
+        run that fails can be resumed.
+        """
         state = self.checkpoint(repo_id)
         chosen = changes.run_mode(mode, state.last_commit if state else None, head, True)
         if chosen == "incremental" and changed is None:
             chosen = "full"
-        result = IndexResult(chosen)
+        result, log = IndexResult(chosen), Progress(self.spark, self.tables, repo_id)
         if chosen == "none":
             return result
+        log.report("repo:started", mode=chosen)
+        try:
+            self._run(result, log, state, repo_id, root, changed, max_file_bytes, batch_files)
+            self._write_checkpoint(repo_id, None, head)
+            log.report("repo:completed", files=result.files_processed, symbols=result.symbols_extracted)
+        except Exception as error:
+            log.report("repo:failed", reason=type(error).__name__)
+            raise
+        finally:
+            log.flush()
+        return result
+
+    def index_all(self, roots: dict[str, str], mode: str = "full") -> dict[str, IndexResult]:
+        """Indexes every registered repository whose checkout is given; one that fails stops no other."""
+        out = {}
+        for row in self.repos().select("id").collect():
+            if row["id"] in roots:
+                try:
+                    out[row["id"]] = self.index(row["id"], roots[row["id"]], mode)
+                except Exception as error:
+                    out[row["id"]] = IndexResult("failed", failed_files=[("", str(error)[:200])])
+        return out
+
+    def _run(self, result: IndexResult, log: Progress, state, repo_id: str, root: str, changed: DataFrame | None, max_file_bytes: int, batch_files: int | None) -> None:
         files = read_files(walk_repo(self.spark, root, repo_id, max_file_bytes, result.failed_files))
-        gone = None
-        if chosen == "resume" and state and state.processed_files:
-            done = self.spark.createDataFrame([(p,) for p in state.processed_files], "relative_path string")
-            files = files.join(done, "relative_path", "left_anti")
+        gone, done = None, []
+        if result.mode == "resume" and state and state.processed_files:
+            done = list(state.processed_files)
+            listed = self.spark.createDataFrame([(p,) for p in done], "relative_path string")
+            files = files.join(listed, "relative_path", "left_anti")
             gone = files.select("repo_id", F.col("relative_path").alias("file_path"))
-        elif chosen == "incremental":
+        elif result.mode == "incremental":
             delta = changes.indexed(changed.withColumn("repo_id", F.lit(repo_id)))
             result.files_deleted = delta.where("status IN ('D', 'R')").count()
             gone = changes.touched(delta)
             files = files.join(gone.select(F.col("file_path").alias("relative_path")), "relative_path", "left_semi")
         files = cut_lineage(files)
-        unread = files.where("content IS NULL").select("relative_path").collect()
-        result.failed_files += [(r[0], "unreadable") for r in unread]
+        for path, reason in [(r[0], "unreadable") for r in files.where("content IS NULL").select("relative_path").collect()]:
+            result.failed_files.append((path, reason))
+        for path, reason in result.failed_files:
+            log.report("file:skipped" if reason == "too-large" else "file:failed", path=path, reason=reason)
         files = files.where("content IS NOT NULL")
         result.files_processed = files.count()
+        if batch_files:
+            numbered = cut_lineage(files.withColumn("_cl_batch", F.floor((F.row_number().over(_rank("relative_path")) - 1) / batch_files)))
+            if gone is None:
+                for name in (*_NODES, "file_nodes", "call_sites", "embeddings"):
+                    self.tables.drop_partition(name, repo_id)
+            else:
+                self._index_files(result, files.limit(0), repo_id, gone)
+            for k in range(-(-result.files_processed // batch_files)):
+                batch = numbered.where(F.col("_cl_batch") == k).drop("_cl_batch")
+                self._index_files(result, batch, repo_id, batch.select("repo_id", F.col("relative_path").alias("file_path")))
+                done += [r[0] for r in batch.select("relative_path").collect()]
+                self._write_checkpoint(repo_id, sorted(done), None)
+                log.report("batch:committed", batch=k, files=len(done))
+        else:
+            self._index_files(result, files, repo_id, gone)
+        # Edges come from the stored call sites, so an incremental run equals a full one.
+        mine = F.col("repo_id") == repo_id
+        functions = self.tables.read("functions", schemas.FUNCTIONS).where(mine)
+        stored = self.tables.read("call_sites", schemas.CALL_SITES).where(mine)
+        result.edges_attempted = graph.resolve_calls(stored, functions).where("callee_file IS NOT NULL").count()
+        result.edges_created = self._write("call_edges", schemas.CALL_EDGES, graph.call_edges(stored, functions), repo_id, None)
+        log.report("edges:resolved", attempted=result.edges_attempted, distinct=result.edges_created)
+
+    def _index_files(self, result: IndexResult, files: DataFrame, repo_id: str, gone: DataFrame | None) -> None:
+        """Parses files once and replaces the rows of the files in ``gone`` (of all, if null)."""
         symbols = cut_lineage(parse_files(files))
-        result.symbols_extracted = symbols.where("kind <> 'call'").count()
+        result.symbols_extracted += symbols.where("kind <> 'call'").count()
         self._write("file_nodes", schemas.FILE_NODES, files.select("repo_id", F.col("relative_path").alias("file_path"), "language"), repo_id, gone)
         for name, (kind, schema) in _NODES.items():
             fresh = graph.last_wins(symbols.where(F.col("kind") == kind), graph.NODE_KEYS[kind], [F.col("ordinal")])
@@ -118,17 +179,9 @@ class Engine:
         sites = symbols.where("kind = 'call'").select("repo_id", "file_path", F.col("name").alias("callee_name"), "caller_name", "ordinal")
         self._write("call_sites", schemas.CALL_SITES, sites, repo_id, gone)
         pieces = chunking.extract_chunks(files.withColumnRenamed("relative_path", "file_path"), symbols)
-        embedded = embed_rows(pieces, "source_text", self.embedder)
-        result.embeddings_stored = self._write("embeddings", schemas.EMBEDDINGS, embedded, repo_id, gone)
-        # Edges come from the stored call sites, so an incremental run equals a full one.
-        mine = F.col("repo_id") == repo_id
-        functions = self.tables.read("functions", schemas.FUNCTIONS).where(mine)
-        stored = self.tables.read("call_sites", schemas.CALL_SITES).where(mine)
-        result.edges_attempted = graph.resolve_calls(stored, functions).where("callee_file IS NOT NULL").count()
-        edges = graph.call_edges(stored, functions)
-        result.edges_created = self._write("call_edges", schemas.CALL_EDGES, edges, repo_id, None)
-        self._write_checkpoint(repo_id, None, head)
-        return result
+        embedded = cut_lineage(embed_rows(pieces, "source_text", self.embedder))
+        result.embeddings_stored += embedded.count()
+        self._write("embeddings", schemas.EMBEDDINGS, embedded, repo_id, gone)
 
     def _write(self, name: str, schema: str, fresh: DataFrame, repo_id: str, gone: DataFrame | None) -> int:
         columns = self.spark.createDataFrame([], schema).columns
@@ -235,6 +288,10 @@ class Engine:
         )
         return bundle.format_bundle(lines).first()["bundle"]
 
+    def health(self) -> bool:
+        """The session answers and the registry can be read."""
+        return self.spark.sql("SELECT 1").first()[0] == 1 and self.repos().limit(1).count() >= 0
+
     def stats(self) -> dict[str, int]:
         """Row counts of all tables."""
         out = {name: self.tables.read(name, schema).count() for name, (_, schema) in _NODES.items()}

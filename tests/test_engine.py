@@ -1,9 +1,12 @@
 import os
+import subprocess
 
 import pytest
 
 from codeloom import schemas
 from codeloom.api import Engine, UnknownRepo
+from codeloom.sources import git as source
+from codeloom.sources.progress import latest
 
 
 def _write(root, name, text):
@@ -87,3 +90,58 @@ def test_resume_skips_what_is_done(spark, tmp_path, checkout):
     assert result.files_processed == 1
     state = engine.checkpoint(repo)
     assert state.processed_files is None and state.last_commit == "c1"
+
+
+def test_batches_are_committed_one_by_one_and_equal_one_plan(spark, tmp_path, checkout):
+    one, two = Engine(spark, str(tmp_path / "a")), Engine(spark, str(tmp_path / "b"))
+    one.index("r", checkout, head="c1")
+    result = two.index("r", checkout, head="c1", batch_files=2)
+    assert result.files_processed == 3 and result.symbols_extracted == 6
+    assert _tables(one, "r") == _tables(two, "r")
+    events = [r["event"] for r in two.tables.read("progress", schemas.PROGRESS).orderBy("at").collect()]
+    assert events.count("batch:committed") == 2 and events[0] == "repo:started" and events[-1] == "repo:completed"
+    assert latest(two.tables).first()["event"] == "repo:completed" and two.health()
+
+
+def test_a_failed_run_is_reported_and_resumed(spark, tmp_path, checkout, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "db"))
+    real, calls = engine._index_files, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(engine, "_index_files", failing)
+    with pytest.raises(RuntimeError):
+        engine.index("r", checkout, batch_files=2)
+    assert len(engine.checkpoint("r").processed_files) == 2 and latest(engine.tables).first()["event"] == "repo:failed"
+    monkeypatch.setattr(engine, "_index_files", real)
+    assert engine.index("r", checkout, mode="resume", head="c1").files_processed == 1
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.index("r", checkout, head="c1")
+    assert _tables(engine, "r") == _tables(whole, "r")
+
+
+def test_git_checkouts(spark, tmp_path):
+    def git(*args):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.test", *args], cwd=origin, check=True, capture_output=True)
+
+    origin = str(tmp_path / "origin")
+    _write(origin, "a.py", "def a(): pass\n")
+    git("init", "-b", "main")
+    git("add", ".")
+    git("commit", "-m", "one")
+    folder = source.clone(origin, "main", str(tmp_path / "x" / "clone"))
+    first = source.head(folder)
+    _write(origin, "b.py", "def b(): pass\n")
+    git("mv", "a.py", "c.py")
+    git("add", ".")
+    git("commit", "-m", "two")
+    source.pull(folder)
+    got = sorted(tuple(r) for r in source.changed_since(spark, folder, first).collect())
+    assert got == [("A", "b.py", None), ("R", "c.py", "a.py")] and source.head(folder) != first
+    hook = source.install_hook(folder, "http://localhost:4444/repos/r/index?incremental=1")
+    assert os.access(hook, os.X_OK) and open(hook).read().startswith("#!/bin/sh")
+    assert source.clone(origin, "main", folder) == folder
