@@ -12,7 +12,7 @@ from codeloom import schemas
 from codeloom.functions.embed import Embedder, HashingEmbedder, embed_rows
 from codeloom.operators import bundle, changes, chunking, graph, lookup, search
 from codeloom.parsing.extract import parse_files
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, ship_package
 from codeloom.sources import registry
 from codeloom.sources.progress import Progress
 from codeloom.sources.tables import Tables
@@ -46,6 +46,7 @@ class Engine:
     """Code knowledge of several repositories in one folder of tables."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
+        ship_package(spark)
         self.spark, self.tables, self.embedder = spark, Tables(spark, root), embedder or HashingEmbedder()
         self._registry = f"{root.rstrip('/')}/repos"
 

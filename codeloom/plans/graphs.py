@@ -123,12 +123,11 @@ def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of an index run per repository."""
-    files = table(spark, sf_dir, "source_files").select("repo_id", "file_id", "content").distinct()
-    failed = F.col("content").isNull() | (F.col("content") == "")
+    # The text is reduced to a flag before anything is shuffled.
+    empty = F.col("content").isNull() | (F.col("content") == "")
+    files = table(spark, sf_dir, "source_files").groupBy("repo_id", "file_id").agg(F.min(empty).alias("failed"))
     counted = files.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.count_if(failed).alias("failed"),
-        F.round(F.count_if(failed) / F.count(F.lit(1)), 6).alias("failure_rate"),
+        F.count(F.lit(1)).alias("files"), F.count_if("failed").alias("failed"), F.round(F.count_if("failed") / F.count(F.lit(1)), 6).alias("failure_rate")
     )
     symbols = table(spark, sf_dir, "chunks").groupBy("repo_id").agg(F.countDistinct("chunk_id").alias("symbols"), F.count(F.lit(1)).alias("attempted"))
     return counted.join(symbols, "repo_id", "left").select("repo_id", "files", "failed", "failure_rate", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("attempted", F.lit(0)).alias("attempted"))
@@ -202,8 +201,8 @@ UNION ALL SELECT 'edges', caller_file, count(*)::BIGINT FROM kept GROUP BY calle
     "resume_skip": """SELECT file_id, repo_id, relative_path FROM source_files s WHERE NOT EXISTS (
       SELECT 1 FROM (SELECT repo_id, unnest(processed_files) AS p FROM checkpoints) c WHERE c.repo_id = s.repo_id AND c.p = s.relative_path)""",
     "index_counters": """
-WITH f AS (SELECT DISTINCT repo_id, file_id, content FROM source_files),
-c AS (SELECT repo_id, count(*)::BIGINT AS files, count(*) FILTER (WHERE content IS NULL OR content = '')::BIGINT AS failed FROM f GROUP BY repo_id),
+WITH f AS (SELECT repo_id, file_id, min(content IS NULL OR content = '') AS failed FROM source_files GROUP BY repo_id, file_id),
+c AS (SELECT repo_id, count(*)::BIGINT AS files, count(*) FILTER (WHERE failed)::BIGINT AS failed FROM f GROUP BY repo_id),
 s AS (SELECT repo_id, count(DISTINCT chunk_id)::BIGINT AS symbols, count(*)::BIGINT AS attempted FROM chunks GROUP BY repo_id)
 SELECT c.repo_id, files, failed, round(failed / files, 6) AS failure_rate, coalesce(symbols, 0) AS symbols, coalesce(attempted, 0) AS attempted FROM c LEFT JOIN s USING (repo_id)""",
 }

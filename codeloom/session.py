@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,25 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in all Python workers, once per context.
+
+    Workers find the functions of a plan by their module. Where the driver alone has the package on
+    its path, they would not; Spark hands the archive to every executor, new ones included.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_codeloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="codeloom-"), "codeloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, folders, names in os.walk(home):
+            folders[:] = sorted(d for d in folders if d != "__pycache__")
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._codeloom_shipped = True
