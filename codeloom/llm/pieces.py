@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.session import cut_lineage
+
 MAX_LINES, MAX_CHARS, OVERLAP_LINES = 150, 8_000, 20
 STEP, SLACK, OVERLAP = 0.6, 0.2, 0.2
 #: Stretches are at most this share of the character limit, so that each window holds a boundary.
@@ -129,7 +131,8 @@ def stitch(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Only the sums of the ranges are gathered per item, one small row per range.
     """
-    sums = table.select("item", "part", "weight", "feeds", "size")
+    # Kept, so that ranges are read twice and not once per use of the sums.
+    sums = cut_lineage(table.select("item", "part", "weight", "feeds", "size"))
     before = Window.partitionBy("item").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         "item",
