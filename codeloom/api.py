@@ -26,6 +26,10 @@ _NODES = {
 }
 
 
+class ModelMismatch(ValueError):
+    """Stored vectors come from another model than the query's; their scores would mean nothing."""
+
+
 class UnknownRepo(LookupError):
     """No repository of that name; the message lists the known ones."""
 
@@ -190,6 +194,8 @@ class Engine:
         if gone is not None:
             old = self.tables.read(name, schema).where(F.col("repo_id") == repo_id)
             rows = old.join(gone, ["repo_id", "file_path"], "left_anti").unionByName(rows)
+        if "name" in columns:  # narrow value ranges per row group serve look-ups by name
+            rows = rows.sortWithinPartitions("name")
         rows = cut_lineage(rows)
         if rows.isEmpty():
             self.tables.drop_partition(name, repo_id)
@@ -223,7 +229,9 @@ class Engine:
             raise ValueError(f"{symbol_type!r} is no kind of symbol")
         rows = self.tables.read("embeddings", schemas.EMBEDDINGS)
         rows = rows.join(F.broadcast(self._targets(repo_name, repo_id)), "repo_id", "left_semi")
-        rows = rows.where(F.col("model") == self.embedder.model)
+        foreign = rows.where((F.col("model") != self.embedder.model) | (F.col("dim") != self.embedder.dim)).select("model").limit(1).collect()
+        if foreign:
+            raise ModelMismatch(f"stored vectors are of {foreign[0]['model']!r}, the query's of {self.embedder.model!r}")
         vector = self.embedder.embed([query])[0]
         if vector is None:
             return rows.limit(0).withColumn("score", F.lit(0.0)).drop("vector")

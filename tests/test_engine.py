@@ -4,7 +4,8 @@ import subprocess
 import pytest
 
 from codeloom import schemas
-from codeloom.api import Engine, UnknownRepo
+from codeloom.api import Engine, ModelMismatch, UnknownRepo
+from codeloom.functions.embed import HashingEmbedder
 from codeloom.sources import git as source
 from codeloom.sources.progress import latest
 
@@ -52,6 +53,9 @@ def test_index_search_lookup_and_bundle(spark, tmp_path, checkout):
     with pytest.raises(UnknownRepo, match="demo"):
         engine.search("x", repo_name="nope")
 
+    with pytest.raises(ModelMismatch):
+        Engine(spark, str(tmp_path / "db"), HashingEmbedder(32)).search("load settings")
+
     found = engine.lookup("load_settings").collect()
     assert len(found) == 1 and "Reads the settings file" in found[0]["source_text"]
     assert [c["name"] for c in found[0]["callees"]] == ["parse_lines"] and len(found[0]["callers"]) == 1
