@@ -12,9 +12,11 @@ from functools import lru_cache
 
 _SPACE = r"[^\S\n]+|\n"
 _LINE = r"//[^\n]*"
-_BLOCK = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+#: A comment that is never closed runs to the end, so that it is looked for once.
+_OPEN_COMMENT = r"/\*[\s\S]*+"
+_BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|" + _OPEN_COMMENT
 #: Rust's block comments nest; three levels are followed.
-_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/"
+_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/" + "|" + _OPEN_COMMENT
 _NUMBER = r"(?:0[xXbBoO][\da-fA-F_']+|\d[\d_']*(?:\.\d[\d_']*)?(?:[eE][+-]?\d+)?)[A-Za-z_0-9]*"
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
@@ -25,7 +27,7 @@ _OPS = r"<<=|>>=|\*\*=|===|!==|\?\?=|&&=|\|\|=|\.\.\.|\.\.=|<=>|->\*|=>|->|::|:=
 _BEFORE_REGEX = r"[(,=:\[!&|?{};+*%~^]"
 _REGEX_BODY = r"/(?![*/])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _JS_REGEX = rf"(?:(?<={_BEFORE_REGEX})|(?<={_BEFORE_REGEX} )|(?<=return )|(?<=^)){_REGEX_BODY}"
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
+_TEMPLATE = r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]++|\{[^{}]*+\}|`[^`]*+`)*+\})*+`"
 #: The end of a tag with the text up to the next tag; text may hold quotes that open nothing.
 _JSX_TEXT = r">[^<>{}=;()]*(?=</[A-Za-z>])"
 _CONFLICT = r"(?m:^(?:<{7}|>{7}|={7}|\|{7})(?=[ \n]|$)[^\n]*)"
