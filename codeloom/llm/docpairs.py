@@ -133,7 +133,7 @@ def _grammar(family: str) -> Parser:
     name = rule("name", token(_NAME), keep=True)
     types = maybe(token(r"\s*<[^(){};]*>"))
     line = token(r"[ \t]*//[^\n]*(?:\n|$)")
-    block = token(r"[ \t]*/\*[^*]*\*+(?:[^/*][^*]*\*+)*/[ \t]*\r?\n?")
+    block = token(r"[ \t]*/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/[ \t]*\r?\n?")
     if family == "python":
         comment = rule("comment", token(r"[ \t]*#[^\n]*(?:\n|$)"), keep=True)
         attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
@@ -147,17 +147,17 @@ def _grammar(family: str) -> Parser:
         comment = rule("comment", first(line, block), keep=True)
         if family == "rust":
             attribute = rule("attribute", token(r"[ \t]*#!?\[[^\n]*\][ \t]*\r?\n"), keep=True)
-            header = seq(token(r"\s*(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|default|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+"), name, types, token(r"\s*"), params)
+            header = seq(token(r"\s*+(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|default|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+"), name, types, token(r"\s*"), params)
         elif family == "go":
             attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
             receiver = maybe(seq(token(r"\([^()]*\)\s*")))
-            header = seq(token(r"\s*func\s+"), receiver, name, maybe(token(r"\[[^\]]*\]")), params)
+            header = seq(token(r"\s*+func\s+"), receiver, name, maybe(token(r"\[[^\]]*\]")), params)
         elif family == "cpp":
             attribute = rule("attribute", token(r"[ \t]*(?:\[\[[^\n]*\]\]|template\s*<[^\n]*>|#[^\n]*)[ \t]*\r?\n"), keep=True)
-            header = seq(token(r"\s*(?:[\w:~&*<>,\[\]]+\s+)*?[*&\s]*(?:[\w<>]+::)*~?(?=[A-Za-z_]\w*\s*\()"), name, token(r"\s*"), params)
+            header = seq(token(r"\s*+(?:[\w:~&*<>,\[\]]++\s++){0,16}?[*&]{0,4}(?:[\w<>]{1,80}::){0,8}~?(?=[A-Za-z_]\w*+\s{0,4}\()"), name, token(r"\s*"), params)
         else:
             attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
-            words = r"\s*(?:(?:export|default|declare|async|static|public|private|protected|readonly|override|abstract|get|set)\s+)*"
+            words = r"\s*+(?:(?:export|default|declare|async|static|public|private|protected|readonly|override|abstract|get|set)\s+)*"
             plain = seq(token(words + r"(?:function\s*\*?\s*)?\*?#?"), name, types, token(r"\s*"), params)
             arrow = seq(token(words + r"(?:const|let|var)\s+"), name, token(r"(?:\s*:[^=]+)?\s*=\s*(?:async\s+)?(?:function\s*\w*\s*)?"), types, token(r"\s*"), params)
             bare = seq(token(words + r"(?:const|let|var)\s+"), name, token(r"\s*=\s*(?:async\s+)?\w+\s*=>"))

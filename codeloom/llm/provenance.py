@@ -37,11 +37,11 @@ SLACK = 0.25
 
 _GENERATED = re.compile(
     r"code generated by .{0,80}do not edit|@generated\b|<auto-?generated|\bauto-?generated (?:file|on|by|from)|automatically (?:produced|generated|created) (?:from|by)"
-    r"|do not (?:modify|edit) by hand: (?:re)?built|^\W*source: \S+\.(?:proto|schema|idl|thrift|fbs|avsc|graphql|yaml|json)\b|schema hash [0-9a-f]{8,}|this file (?:is|was) (?:automatically |auto-?)(?:generated|produced)",
+    r"|do not (?:modify|edit) by hand: (?:re)?built|^[^\w\n]*source: \S+\.(?:proto|schema|idl|thrift|fbs|avsc|graphql|yaml|json)\b|schema hash [0-9a-f]{8,}|this file (?:is|was) (?:automatically |auto-?)(?:generated|produced)",
     re.I | re.M,
 )
 _VENDORED = re.compile(
-    r"\bvendored from\b|bundled third[- ]party source|imported verbatim from|\blocal copy of .{0,80}upstream|send changes upstream|^\W*[\w. -]{2,40}\d+\.\d+[\s\S]{0,40}^\W*released under an? [\w-]+ licen[cs]e",
+    r"\bvendored from\b|bundled third[- ]party source|imported verbatim from|\blocal copy of .{0,80}upstream|send changes upstream|^[^\w\n]*[\w. -]{2,40}\d+\.\d+[\s\S]{0,40}^[^\w\n]*released under an? [\w-]+ licen[cs]e",
     re.I | re.M,
 )
 _VENDOR_PATH = re.compile(r"(?:^|/)(?:vendor|third[_-]?party|node_modules|bower_components|site-packages|external|deps|vendored|contrib/bundled)/", re.I)
