@@ -34,7 +34,7 @@ def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds by similarity to row 0; related rows share a label with a seed; sizes are id-derived lengths."""
     rows = table(spark, sf_dir, "embeddings").withColumn("size", (F.col("vec_id") * 37 % 1900 + 100).cast("long"))
     query = rows.where("vec_id = 0").select("embedding").first()
-    hits = search.vector_search(rows, list(query[0]), "embedding", "vec_id", k=bundle.SEEDS, min_score=0.3)
+    hits = search.vector_search(rows, list(query[0]) if query else [0.0], "embedding", "vec_id", k=bundle.SEEDS, min_score=0.3)
     placed = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "vec_id"))).withColumn("grp", F.lit(1))
     seeds = bundle.fill_seeds(placed, ["grp"], [F.col("rank")], F.col("size"), BUDGET)
     labels = F.broadcast(seeds.groupBy("label").agg(F.min("rank").alias("seed_rank")))

@@ -44,3 +44,18 @@ def test_the_core_imports_nothing_of_the_optional_package():
                 names.append(os.path.relpath(os.path.join(folder, f), root)[:-3].replace(os.sep, ".").removesuffix(".__init__"))
     code = f"import sys, importlib\nfor n in {names!r}: importlib.import_module(n)\nassert not any(n.startswith('codeloom.llm') for n in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_queries_survive_empty_tables_and_null_rows(spark, tmp_path, kind):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        table = spark.read.parquet(path)
+        nulls = table.limit(2).select(*[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+        frame = table.limit(0) if kind == "empty" else table.union(nulls)
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{os.path.basename(path)}")
+    for query in QUERIES.values():
+        query(spark, str(tmp_path)).collect()
