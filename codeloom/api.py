@@ -228,7 +228,7 @@ class Engine:
         if symbol_type is not None and symbol_type not in ("function", "class", "type"):
             raise ValueError(f"{symbol_type!r} is no kind of symbol")
         rows = self.tables.read("embeddings", schemas.EMBEDDINGS)
-        rows = rows.join(F.broadcast(self._targets(repo_name, repo_id)), "repo_id", "left_semi")
+        rows = rows.join(self._targets(repo_name, repo_id), "repo_id", "left_semi")
         foreign = rows.where((F.col("model") != self.embedder.model) | (F.col("dim") != self.embedder.dim)).select("model").limit(1).collect()
         if foreign:
             raise ModelMismatch(f"stored vectors are of {foreign[0]['model']!r}, the query's of {self.embedder.model!r}")
