@@ -2,7 +2,7 @@
 
 Python is read by its own parser; the brace languages by the shared lexer, a bracket matcher and
 declaration patterns over the token stream. Each file is read once and gives tagged rows. Files that
-do not parse give what can be read of them; the extractor never fails.
+do not parse give what can be read of them, Python statement by statement; the extractor never fails.
 
 Deviations from a full grammar: names, spans, enclosing class, imports and bare or member calls
 are read; computed method names, macros that declare functions and conditional compilation are not
@@ -12,6 +12,7 @@ followed.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import warnings
 from collections.abc import Iterator
@@ -45,64 +46,232 @@ class Symbol(NamedTuple):
 # --- Python -------------------------------------------------------------------------------------
 
 
-def _python(text: str, compat: bool) -> list[Symbol]:
+#: Words that start a statement and stand in no bracket: a line that starts so ends what is open.
+_STATEMENT = frozenset("def class import return while try except finally elif raise pass break continue del global nonlocal assert with".split())
+#: What a clause needs above it to be read alone.
+_ABOVE = {"else": "if 1: pass", "elif": "if 1: pass", "except": "try: pass", "finally": "try: pass", "case": ""}
+_CONFLICT = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
+_CONTINUED = re.compile(r"[^\S\n]*\\\n")
+_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def _parsed(text: str) -> tuple[ast.Module | None, bool]:
+    """The tree, or none and whether a limit of the parser is the reason, not the text."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
-    lines = text.split("\n")
-    out: list[Symbol] = []
+            return ast.parse(text), False
+        except SyntaxError as error:
+            return None, str(error.msg).startswith("too many")
+        except ValueError:
+            return None, False
+        except (RecursionError, MemoryError):
+            return None, True
+
+
+class _PythonRows:
+    """Rows of parsed statements of one text."""
 
-    def span(node) -> tuple[int, int, str]:
+    def __init__(self, text: str, compat: bool):
+        self.lines, self.compat = text.split("\n"), compat
+        self.out: list[Symbol] = []
+
+    def span(self, node, end: int) -> tuple[int, int, str]:
         start = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
-        head = "\n".join(lines[node.lineno - 1 : node.end_lineno])[node.col_offset :][:200]
-        return (node.lineno if compat else start), node.end_lineno, head
+        head = "\n".join(self.lines[node.lineno - 1 : end])[node.col_offset :][:200]
+        return (node.lineno if self.compat else start), end, head
 
-    def functions(body: list, owner: str) -> None:
+    def functions(self, body: list, owner: str, end: int | None = None) -> None:
         for node in body:
-            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                if compat and node.decorator_list:
+            if isinstance(node, _FUNCTION):
+                if self.compat and node.decorator_list:
                     continue
-                a, b, head = span(node)
-                out.append(Symbol("function", node.name, a, b, head, owner))
-
-    for node in tree.body:
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            functions([node], "")
-        elif isinstance(node, ast.ClassDef):
-            functions(node.body, node.name)
-    for node in ast.walk(tree):
-        if isinstance(node, ast.ClassDef):
-            a, b, head = span(node)
-            out.append(Symbol("class", node.name, a, b, head))
-            if node not in tree.body:
-                functions(node.body, node.name)
-        elif isinstance(node, ast.Import):
-            for alias in node.names:
-                if not (compat and alias.asname):
-                    out.append(Symbol("import", alias.name, node.lineno, node.end_lineno, module_path=alias.name, symbols=(alias.name,)))
-        elif isinstance(node, ast.ImportFrom):
-            module = "." * node.level + (node.module or "")
-            out.append(Symbol("import", module, node.lineno, node.end_lineno, module_path=module, symbols=tuple(a.name for a in node.names)))
-    if not compat:
-
-        def calls(node, caller: str) -> None:
-            for child in ast.iter_child_nodes(node):
-                inner = child.name if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) else caller
-                if isinstance(child, ast.Call):
-                    f = child.func
-                    name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                    if name:
-                        out.append(Symbol("call", name, child.lineno, child.end_lineno, caller_name=caller))
-                calls(child, inner)
+                self.out.append(Symbol("function", node.name, *self.span(node, end or node.end_lineno), owner))
 
-        try:
-            calls(tree, "")
-        except RecursionError:
-            pass
-    return out
+    def read(self, body: list, scope: str | None = "", caller: str = "") -> None:
+        """Statements of the module (``scope`` is empty), of the class ``scope`` or of other blocks (none)."""
+        for node in body:
+            if isinstance(node, _FUNCTION) and scope is not None:
+                self.functions([node], scope)
+            elif isinstance(node, ast.ClassDef):
+                self.functions(node.body, node.name)
+        tree = ast.Module(body, [])
+        direct = set(map(id, body))
+        for node in ast.walk(tree):
+            if isinstance(node, ast.ClassDef):
+                self.out.append(Symbol("class", node.name, *self.span(node, node.end_lineno)))
+                if id(node) not in direct:
+                    self.functions(node.body, node.name)
+            elif isinstance(node, ast.Import):
+                for alias in node.names:
+                    if not (self.compat and alias.asname):
+                        self.out.append(Symbol("import", alias.name, node.lineno, node.end_lineno, module_path=alias.name, symbols=(alias.name,)))
+            elif isinstance(node, ast.ImportFrom):
+                module = "." * node.level + (node.module or "")
+                self.out.append(Symbol("import", module, node.lineno, node.end_lineno, module_path=module, symbols=tuple(a.name for a in node.names)))
+        if not self.compat:
+            self.calls(tree, caller)
+
+    def calls(self, tree: ast.AST, caller: str) -> None:
+        waiting = [(tree, caller)]
+        while waiting:
+            node, caller = waiting.pop()
+            if isinstance(node, ast.Call):
+                f = node.func
+                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                if name:
+                    self.out.append(Symbol("call", name, node.lineno, node.end_lineno, caller_name=caller))
+            if isinstance(node, _FUNCTION):
+                caller = node.name
+            waiting.extend((child, caller) for child in reversed(list(ast.iter_child_nodes(node))))
+
+
+def _python(text: str, compat: bool) -> list[Symbol]:
+    rows = _PythonRows(text, compat)
+    tree, _ = _parsed(text)
+    if tree is not None:
+        rows.read(tree.body)
+    else:
+        _read_damaged(rows, text)
+    return rows.out
+
+
+def _logical_lines(s: _Stream) -> list[int]:
+    """First tokens of the logical lines of a Python text that need not be well-formed.
+
+    A line break ends a line where no bracket is open. Where a statement begins with brackets still
+    open, these lack their ends, and they hold no line break back.
+    """
+    starts, breaks, opened = [0], [], []
+
+    def settle() -> None:
+        depth = 0
+        for k, open_brackets in breaks:
+            while depth < len(opened) and opened[depth] < k:
+                depth += 1
+            if open_brackets == depth:
+                starts.append(k)
+        breaks.clear()
+        opened.clear()
+
+    for k, token in enumerate(s.tokens):
+        if k and s.line[k] > s.end_line(k - 1) and not _CONTINUED.match(s.text, s.at[k - 1] + len(s.tokens[k - 1])):
+            conflict = token.startswith(_CONFLICT) and len(token) > 6
+            if conflict or token in _STATEMENT or (token == "async" and s.get(k + 1) in ("def", "with")) or (token == "from" and _from_import(s, k)) or (token == "@" and _decorates(s, k)):
+                settle()
+                starts.append(k)
+            elif token not in (")", "]", "}"):
+                breaks.append((k, len(opened)))
+        if token in ("(", "[", "{"):
+            opened.append(k)
+        elif token in (")", "]", "}") and opened and s.tokens[opened[-1]] == _OPEN[_CLOSE.index(token)]:
+            opened.pop()
+    settle()
+    return starts if s.tokens else []
+
+
+def _from_import(s: _Stream, k: int) -> bool:
+    k += 1
+    while s.get(k) in (".", "...", "..") or (s.is_name(k) and s.tokens[k] != "import"):
+        k += 1
+    return s.get(k) == "import"
+
+
+def _decorates(s: _Stream, k: int) -> bool:
+    """Whether the line that starts with @ is a decorator: a dotted name, its arguments and a line break."""
+    k += 1
+    while s.is_name(k) and s.get(k + 1) == ".":
+        k += 2
+    if not s.is_name(k):
+        return False
+    k = s.match.get(k + 1, k) if s.get(k + 1) == "(" else k
+    return s.get(k + 1) in ("@", "def", "class", "async") and s.line[k + 1] > s.end_line(k)
+
+
+def _read_damaged(rows: _PythonRows, text: str) -> None:
+    """What can be read of a text that does not parse: every statement that parses alone.
+
+    The logical lines form a tree by indentation. A statement that fails is left out, and the
+    statements of its block are read one by one; definitions are left out with an error in them, as
+    in the reference, but kept where only a limit of the parser is the reason.
+    """
+    s = _Stream(text, "python")
+    starts = _logical_lines(s)
+    count = len(starts)
+    last = [*(k - 1 for k in starts[1:]), len(s.tokens) - 1]
+    indent = [len(text[text.rfind("\n", 0, s.at[k]) + 1 : s.at[k]].expandtabs(8)) for k in starts]
+    for n in reversed(range(count - 1)):
+        marker = s.tokens[starts[n]].startswith(_CONFLICT) and len(s.tokens[starts[n]]) > 6
+        if marker or (indent[n] < indent[n + 1] and s.tokens[last[n]] != ":" and _parsed(text[s.at[starts[n]] : s.at[last[n]] + len(s.tokens[last[n]])])[0] is None):
+            indent[n] = indent[n + 1]  # a marker or unreadable text belongs to the block that it stands in
+    behind, above = [count] * count, []  # the line behind the block of each line
+    for n in range(count):
+        while above and indent[above[-1]] >= indent[n]:
+            behind[above.pop()] = n
+        above.append(n)
+
+    def parse(a: int, b: int, head: str = "", tail: str = "") -> tuple[list | None, bool]:
+        """Statements of the lines a to b (exclusive) at their places in the text."""
+        first, end = s.line[starts[a]], s.end_line(last[b - 1])
+        case = s.tokens[starts[a]] == "case" and tail != ""
+        wrap = ["match 1:" if case else "if 1:"] if indent[a] else []
+        wrap += [re.match(r"\s*", rows.lines[first - 1])[0] + head] if head else []
+        piece = "\n".join([*wrap, *rows.lines[first - 1 : end]]) + tail
+        tree, limit = _parsed(piece)
+        if tree is None:
+            return None, limit
+        ast.increment_lineno(tree, first - 1 - len(wrap))
+        if case and isinstance(tree.body[0], ast.Match):
+            return tree.body[0].cases, False
+        return (tree.body[0].body if indent[a] else tree.body), False
+
+    def tokens_called(n: int, caller: str) -> None:
+        for k in range(starts[n] + 1, last[n] + 1):
+            name = s.tokens[k - 1]
+            if s.tokens[k] == "(" and s.is_name(k - 1) and not keyword.iskeyword(name) and s.get(k - 2) not in ("def", "class"):
+                rows.out.append(Symbol("call", name, s.line[k - 1], s.end_line(s.match.get(k, k)), caller_name=caller))
+
+    waiting: list[tuple[int, int, str | None, str]] = [(0, count, "", "")]
+    while waiting:
+        n, stop, scope, caller = waiting.pop()
+        if n >= stop:
+            continue
+        head = n  # the line behind decorators
+        while s.tokens[starts[head]] == "@" and behind[head] == head + 1 < stop and indent[head + 1] == indent[n]:
+            head += 1
+        end = behind[head]
+        chain = end
+        while chain < stop and s.tokens[starts[chain]] in _ABOVE and indent[chain] == indent[n] and s.tokens[starts[n]] not in _ABOVE:
+            chain = behind[chain]
+        body, limit = parse(n, chain)
+        if body is not None:
+            rows.read(body, scope, caller)
+            waiting.append((chain, stop, scope, caller))
+            continue
+        waiting.append((end, stop, scope, caller))
+        word = s.tokens[starts[head]]
+        at = starts[head] + (word == "async")
+        inner_scope, inner_caller = None, caller
+        if s.get(at) in ("def", "class") and s.is_name(at + 1) and at + 1 <= last[head]:
+            inner_scope, inner_caller = (None, s.tokens[at + 1]) if s.tokens[at] == "def" else (s.tokens[at + 1], caller)
+        if end > head + 1 or s.tokens[last[head]] == ":":
+            block = s.tokens[last[head]] == ":"
+            header, _ = parse(n, head + 1, _ABOVE.get(word, "") if block else "", " pass" if block else "")
+            if header and not block:  # whole in itself, with a block behind it that has no head
+                rows.read(header, scope, caller)
+            elif header:
+                if limit and isinstance(header[-1], (*_FUNCTION, ast.ClassDef)):
+                    node, close = header[-1], s.end_line(last[end - 1])
+                    if isinstance(node, ast.ClassDef):
+                        rows.out.append(Symbol("class", node.name, *rows.span(node, close)))
+                    elif scope is not None:
+                        rows.functions([node], scope, close)
+                if not rows.compat:
+                    for node in header:
+                        rows.calls(node, caller)
+        elif limit and not rows.compat:
+            tokens_called(n, caller)
+        waiting.append((head + 1, end, inner_scope, inner_caller))
 
 
 # --- brace languages ----------------------------------------------------------------------------

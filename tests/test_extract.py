@@ -165,3 +165,80 @@ def test_files_are_parsed_in_one_pass(spark):
     rows = [("r", "a.go", GO), ("r", "b.md", "x"), ("r", "c.py", None), ("r", "d.py", "")]
     out = parse_files(spark.createDataFrame(rows, "repo_id string, relative_path string, content string")).collect()
     assert {r["file_path"] for r in out} == {"a.go"} and [r["ordinal"] for r in out] == list(range(len(out)))
+
+
+DAMAGED = '''import os
+from .pkg import one
+
+def before():
+    return helper(1)
+
+class Box:
+    @wraps(os)
+    def whole(self):
+        return """
+def in_a_text(): pass
+"""
+    def broken(self):
+        kept(1)
+        x = call(1, [2
+        return other()
+
+    def also_whole(self):
+<<<<<<< ours
+        return a(1)
+=======
+        return b(1)
+>>>>>>> theirs
+
+    def last(self): pass
+
+if one:
+    c(1)
+elif two(]:
+    d(2)
+else:
+    e(3)
+
+@wraps
+async def after():
+    from os import path
+    return g()
+
+def cut(
+'''
+
+
+def test_damaged_python_gives_what_is_intact():
+    assert _names(DAMAGED, "python", "function") == ["before", "Box.whole", "Box.last", "after"]
+    assert _names(DAMAGED, "python", "class") == []  # as in the reference, a definition with an error in it is left out
+    assert [s.module_path for s in extract(DAMAGED, "python") if s.kind == "import"] == ["os", ".pkg", "os"]
+    calls = {(s.name, s.caller_name) for s in extract(DAMAGED, "python") if s.kind == "call"}
+    assert calls == {("helper", "before"), ("wraps", "whole"), ("kept", "broken"), ("other", "broken"), ("a", "also_whole"), ("b", "also_whole"), ("c", ""), ("d", ""), ("e", ""), ("g", "after")}
+    lines = {s.name: (s.start_line, s.end_line, s.signature) for s in extract(DAMAGED, "python") if s.kind == "function"}
+    assert lines["whole"][:2] == (8, 12) and lines["whole"][2].startswith("def whole(self)")
+    assert lines["after"][:2] == (34, 37)
+    assert _names(DAMAGED, "python", "function", compat=True) == ["before", "Box.last"]
+
+
+def test_unreadable_text_ends_no_class():
+    text = "class A:\n    def m(self):\n        x()\nlost merge text\n        y()\n    def n(self): pass\ndef f(): pass\n"
+    assert _names(text, "python", "function") == ["A.n", "f"]
+    assert _names("import os\n    import sys\n", "python", "import") == ["os", "sys"]
+
+
+@pytest.mark.parametrize("deep", ["+".join(["f(x)"] * 20_000), "(" * 300 + "f(x)" + ")" * 300])
+def test_python_too_deep_for_its_parser_keeps_its_definitions(deep):
+    text = f"import os\ndef a():\n    return g({deep})\n\nclass C:\n    def b(self): pass\n"
+    assert _names(text, "python", "function") == ["a", "C.b"] and _names(text, "python", "class") == ["C"]
+    assert [(s.start_line, s.end_line) for s in extract(text, "python") if s.name == "a"] == [(2, 3)]
+    assert {("f", "a"), ("g", "a")} <= {(s.name, s.caller_name) for s in extract(text, "python") if s.kind == "call"}
+
+
+@pytest.mark.parametrize("text", ["else:\n" * 20_000, "x = (\n" * 20_000, "case\n" * 20_000 + "(", "@a\n" * 20_000, "try:\n" * 20_000, "def f(:\n" * 20_000, '"""\n' * 20_001])
+def test_damaged_python_is_read_in_linear_time(text):
+    import time
+
+    start = time.process_time()
+    extract(text, "python")
+    assert time.process_time() - start < 10
