@@ -281,6 +281,11 @@ _IDENT = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$]*$")
 _NOT_CALLED = frozenset("if for while switch catch return function func fn sizeof match typeof await super new delete throw and or not else do case decltype alignof noexcept import require_once".split())
 
 
+#: Tokens that no list of types holds, and words that begin another declaration.
+_NO_TYPE = frozenset("; || == === != !== return let var while if else".split())
+_STARTS = frozenset("const let var function class export enum".split())
+
+
 class _Stream:
     """Significant tokens of a text with lines, offsets and matching brackets."""
 
@@ -317,6 +322,7 @@ class _Stream:
             self.depth_owner.append(open_at[-1] if open_at else -1)
             if k in self.match and self.tokens[k] == "{":
                 open_at.append(k)
+        self.angles: dict[int, int] | None = None
 
     def _add(self, token: str, pos: int, row: int) -> None:
         self.tokens.append(token)
@@ -342,11 +348,45 @@ class _Stream:
         """Behind an angle-bracketed list that starts at ``k``, else ``k``."""
         if self.get(k) != "<":
             return k
-        depth = 0
-        for j in range(k, min(k + 200, len(self.tokens))):
-            depth += self.tokens[j].count("<") - (self.tokens[j].count(">") if self.tokens[j] not in ("=>", "->", ">=") else 0)
-            if depth <= 0:
-                return j + 1
+        if self.angles is None:
+            self.angles = self._match_angles()
+        return self.angles.get(k, k - 1) + 1
+
+    def _match_angles(self) -> dict[int, int]:
+        """Ends of the angle brackets, in one pass: those of a bracketed part match within it only,
+        and none reaches over a token that stands in no list of types."""
+        out: dict[int, int] = {}
+        levels: list[list[int]] = [[]]
+        closing = set(self.match.values())
+        for k, token in enumerate(self.tokens):
+            if k in self.match:
+                levels.append([])
+            elif k in closing:
+                levels.pop()
+            elif token in _NO_TYPE or (len(token) == 1 and token in _OPEN + _CLOSE):
+                levels[-1].clear()
+            elif token[0] == "<" and token in ("<", "<<", "<-"):
+                levels[-1] += [k] * token.count("<")
+            elif token[0] == ">" and token not in (">=",):
+                for _ in range(token.count(">")):
+                    if levels[-1]:
+                        out[levels[-1].pop()] = k
+        return out
+
+    def skip_annotation(self, k: int, stops: tuple[str, ...]) -> int:
+        """The first of ``stops`` behind the annotation that starts at the colon ``k``, else ``k``.
+
+        Bracketed parts are skipped; a token that no type holds ends the search, so that searches
+        from different declarations read different tokens.
+        """
+        j = k + 1
+        while j < len(self.tokens) and self.tokens[j] not in _NO_TYPE and self.tokens[j] not in _STARTS and self.tokens[j] not in _CLOSE:
+            if self.tokens[j] in stops:
+                return j
+            if self.tokens[j] == "<":
+                j = max(self.skip_types(j), j + 1)
+            else:
+                j = self.match.get(j, j) + 1
         return k
 
     def body(self, k: int, stop: str = ";") -> int | None:
@@ -410,16 +450,17 @@ def _script(text: str, name: str) -> list[Symbol]:
                     spans.append((at, s.match[brace], s.tokens[at]))
         elif token in ("const", "let", "var") and s.depth_owner[k] == -1 and s.is_name(k + 1):
             at, j = k + 1, k + 2
-            while j < len(s.tokens) and s.tokens[j] not in ("=", ";") and j < k + 80:
-                j = s.match.get(j, j) + 1
+            j += s.get(j) == "!"
+            if s.get(j) == ":":
+                j = s.skip_annotation(j, ("=",))
             if s.get(j) == "=":
                 j += 1
                 j += s.get(j) == "async"
                 j = s.skip_types(j)
                 if s.get(j) == "(" and j in s.match:
                     j = s.match[j] + 1
-                    while j < len(s.tokens) and s.tokens[j] not in ("=>", ";", "{") and j < k + 200:
-                        j = s.match.get(j, j) + 1
+                    if s.get(j) == ":":
+                        j = s.skip_annotation(j, ("=>",))
                 elif s.is_name(j):
                     j += 1
                 if s.get(j) == "=>":
@@ -444,7 +485,7 @@ def _script(text: str, name: str) -> list[Symbol]:
                 types.append(_declared(s, "type", k + 1, k, min(end, len(s.tokens) - 1)))
         elif token == "import" and s.depth_owner[k] == -1 and s.get(k + 1) not in ("(", "."):
             names, j = [], k + 1
-            while j < len(s.tokens) and s.tokens[j][0] not in "\"'" and s.tokens[j] != ";" and j < k + 400:
+            while j < len(s.tokens) and s.tokens[j][0] not in "\"'" and s.tokens[j] not in (";", "import") and s.tokens[j] not in _STARTS:
                 if s.tokens[j] == "{":
                     inner = s.tokens[j + 1 : s.match.get(j, j)]
                     names += [t for t, before in zip(inner, ["", *inner], strict=False) if _IDENT.match(t) and t not in ("as", "type") and before != "as"]
@@ -606,6 +647,7 @@ def _cpp(text: str, name: str, compat: bool) -> list[Symbol]:
     functions, classes, imports, spans = [], [], [], []
     bodies: dict[int, str] = {}
     scopes = {-1}
+    heads: dict[int, int] = {}  # where the search for a body ends, by the tokens that it has passed
     for k, token in enumerate(s.tokens):
         if token in ("class", "struct") and s.is_name(k + 1) and s.get(k - 1) not in ("enum", "<", ",", "friend"):
             brace = s.body(k + 2)
@@ -628,9 +670,12 @@ def _cpp(text: str, name: str, compat: bool) -> list[Symbol]:
             continue
         if s.get(k - 2) == ":" and s.get(k - 3) not in ("public", "private", "protected"):
             continue  # an initialiser of a constructor
-        j = s.match[k] + 1
-        while j < len(s.tokens) and s.tokens[j] not in ("{", ";", "}", "=") and j < k + 200:
+        j, passed = s.match[k] + 1, []
+        while j < len(s.tokens) and j not in heads and s.tokens[j] not in ("{", ";", "}", "="):
+            passed.append(j)
             j = s.match.get(j, j) + 1
+        j = heads.get(j, j)
+        heads.update(dict.fromkeys(passed, j))
         if s.get(j) != "{" or j not in s.match:
             continue
         start = k - 1

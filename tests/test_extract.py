@@ -242,3 +242,44 @@ def test_damaged_python_is_read_in_linear_time(text):
     start = time.process_time()
     extract(text, "python")
     assert time.process_time() - start < 10
+
+
+def test_long_declarations_are_read_whole():
+    many = ", ".join(f"int a{i}" for i in range(150))
+    held = ", ".join(f"m{i}(a{i})" for i in range(150))
+    text = f"class C {{\npublic:\n  C({many}) : {held} {{ call(1); }}\n}};\nint free({many}) noexcept {{ return other(2); }}\n"
+    assert _names(text, "cpp", "function") == ["C.C", "free"]
+    assert {("call", "C"), ("other", "free")} <= {(s.name, s.caller_name) for s in extract(text, "cpp") if s.kind == "call"}
+
+    fields = "; ".join(f"f{i}: Map<string, number>" for i in range(100))
+    types = ", ".join(f"T{i} extends {{ x: number }} = {{ x: 1 }}" for i in range(100))
+    args = ", ".join(f"a{i}: number" for i in range(100))
+    union = " | ".join(f"'u{i}'" for i in range(300))
+    names = ", ".join(f"n{i}" for i in range(300))
+    text = (
+        f"import {{ {names} }} from './m';\n"
+        f"const typed: (a: {{ {fields} }}, b: {union}) => void = (a) => {{ one(a); }};\n"
+        f"const returns = ({args}): {union} => {{ two(1); }};\n"
+        f"const shaped = ({args}): {{ {fields} }} => {{ three(1); }};\n"
+        f"function generic<{types}>(x: number) {{ four(1); }}\n"
+        f"type Alias<{types}> = number;\n"
+    )
+    assert _names(text, "typescript", "function") == ["generic", "typed", "returns", "shaped"] and _names(text, "typescript", "type") == ["Alias"]
+    assert [len(s.symbols) for s in extract(text, "typescript") if s.kind == "import"] == [300]
+    assert {("one", "typed"), ("two", "returns"), ("three", "shaped"), ("four", "generic")} <= {(s.name, s.caller_name) for s in extract(text, "typescript") if s.kind == "call"}
+
+    bounds = ", ".join(f"T{i}: Into<u8>" for i in range(100))
+    assert _names(f"fn f<{bounds}>(x: u8) {{}}\ntype A<{bounds}> = u8;\n", "rust", "function") == ["f"]
+
+
+def test_a_variable_without_a_value_takes_none_from_the_next():
+    assert _names("let a\nlet b: number\nconst f = (x) => x;\nconst n = (1 + 2) / 3\nlist.map(y => y);\n", "typescript", "function") == ["f"]
+
+
+@pytest.mark.parametrize(("text", "language"), [("a(b) " * 30_000, "cpp"), ("type T<" * 30_000, "typescript"), ("const a: b " * 30_000, "typescript"), ("const a = (b): c " * 20_000, "typescript"), ("import a " * 30_000, "typescript"), ("fn f<;" * 30_000, "rust")])
+def test_declarations_without_an_end_are_read_in_linear_time(text, language):
+    import time
+
+    start = time.process_time()
+    extract(text, language)
+    assert time.process_time() - start < 10
