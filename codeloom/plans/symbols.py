@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as text_functions
 from codeloom.operators import chunking, lookup
+from codeloom.parsing.extract import parse_files
 from codeloom.session import table
 
 
@@ -75,6 +76,17 @@ def leading_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", index.alias("line"), chunking.leading_comment_start(lines, index).alias("starts"))
 
 
+def leading_comment_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the comment above each function and class of all files begins, in the whole text of the file."""
+    files = table(spark, sf_dir, "source_files").groupBy("repo_id", "relative_path").agg(F.max(F.struct("walked_at", "content"))["content"].alias("content"))
+    declared = parse_files(files).where("kind IN ('function', 'class')")
+    heads = declared.groupBy("repo_id", "file_path").agg(F.collect_set(F.col("start_line") - 1).alias("heads"))
+    joined = files.join(heads, files["repo_id"].eqNullSafe(heads["repo_id"]) & (files["relative_path"] == heads["file_path"])).select(files["repo_id"], "file_path", "content", "heads")
+    lined = joined.withColumn("lines", text_functions.lines(F.regexp_replace("content", "\r\n?", "\n")))
+    begins = F.transform("heads", lambda line: F.struct(line.alias("line"), chunking.leading_comment_start(F.col("lines"), line).alias("starts")))
+    return lined.select("repo_id", "file_path", F.inline(begins))
+
+
 _KINDS = """
 WITH kinds AS (
   SELECT 'function' AS symbol_type, c_custkey AS id, c_name AS name FROM customer
@@ -101,7 +113,7 @@ SELECT {keys}, CASE WHEN m < 0 THEN nm ELSE coalesce(nm, '') || ' [part ' || (k
 
 QUERIES = {
     f.__name__: f
-    for f in (lookup_exact, lookup_prefix, lookup_exact_else_prefix, symbol_lookup, source_text_lookup, chunk_lines, chunk_lines_full, leading_comment)
+    for f in (lookup_exact, lookup_prefix, lookup_exact_else_prefix, symbol_lookup, source_text_lookup, chunk_lines, chunk_lines_full, leading_comment, leading_comment_declared)
 }
 SQL = {
     "lookup_exact": _KINDS + "SELECT symbol_type, id, name FROM kinds WHERE name = 'red widget'",
