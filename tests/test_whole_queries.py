@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 
 from codeloom.parsing.extract import parse_files
-from codeloom.plans import symbols
+from codeloom.plans import bundles, symbols
 from codeloom.session import table
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -38,3 +38,10 @@ def test_comments_above_declarations_are_found_in_the_whole_text(spark):
     assert len(found) == len(set(found)) and set(found) == wanted
     assert any(line > 9 and starts < line for _, _, line, starts in found)  # behind the tenth line
     assert "leading_comment_declared" in symbols.QUERIES
+
+
+def test_chunks_of_all_kinds_are_formatted(spark):
+    chunks = table(spark, DATA, "chunks")
+    found = {r["chunk_id"] for r in bundles.QUERIES["bundle_markdown_all"](spark, DATA).where("markdown IS NOT NULL").collect()}
+    assert found == {r["chunk_id"] for r in chunks.where("source_text IS NOT NULL").select("chunk_id").collect()}
+    assert {r["k"] for r in chunks.where(chunks["chunk_id"].isin(*found)).selectExpr("lower(trim(symbol_type)) AS k").distinct().collect()} > {"class"}
