@@ -43,6 +43,7 @@ class IndexResult:
     edges_attempted: int = 0
     edges_created: int = 0
     embeddings_stored: int = 0
+    embeddings_failed: int = 0
     failed_files: list[tuple[str, str]] = field(default_factory=list)
 
 
@@ -156,15 +157,15 @@ class Engine:
                 for name in (*_NODES, "file_nodes", "call_sites", "embeddings"):
                     self.tables.drop_partition(name, repo_id)
             else:
-                self._index_files(result, files.limit(0), repo_id, gone)
+                self._index_files(result, log, files.limit(0), repo_id, gone)
             for k in range(-(-result.files_processed // batch_files)):
                 batch = numbered.where(F.col("_cl_batch") == k).drop("_cl_batch")
-                self._index_files(result, batch, repo_id, batch.select("repo_id", F.col("relative_path").alias("file_path")))
+                self._index_files(result, log, batch, repo_id, batch.select("repo_id", F.col("relative_path").alias("file_path")))
                 done += [r[0] for r in batch.select("relative_path").collect()]
                 self._write_checkpoint(repo_id, sorted(done), None)
                 log.report("batch:committed", batch=k, files=len(done))
         else:
-            self._index_files(result, files, repo_id, gone)
+            self._index_files(result, log, files, repo_id, gone)
         # Edges come from the stored call sites, so an incremental run equals a full one.
         mine = F.col("repo_id") == repo_id
         functions = self.tables.read("functions", schemas.FUNCTIONS).where(mine)
@@ -173,7 +174,7 @@ class Engine:
         result.edges_created = self._write("call_edges", schemas.CALL_EDGES, graph.call_edges(stored, functions), repo_id, None)
         log.report("edges:resolved", attempted=result.edges_attempted, distinct=result.edges_created)
 
-    def _index_files(self, result: IndexResult, files: DataFrame, repo_id: str, gone: DataFrame | None) -> None:
+    def _index_files(self, result: IndexResult, log: Progress, files: DataFrame, repo_id: str, gone: DataFrame | None) -> None:
         """Parses files once and replaces the rows of the files in ``gone`` (of all, if null)."""
         symbols = cut_lineage(parse_files(files))
         result.symbols_extracted += symbols.where("kind <> 'call'").count()
@@ -184,7 +185,12 @@ class Engine:
         sites = symbols.where("kind = 'call'").select("repo_id", "file_path", F.col("name").alias("callee_name"), "caller_name", "ordinal")
         self._write("call_sites", schemas.CALL_SITES, sites, repo_id, gone)
         pieces = chunking.extract_chunks(files.withColumnRenamed("relative_path", "file_path"), symbols)
-        embedded = cut_lineage(embed_rows(pieces, "source_text", self.embedder))
+        embedded = cut_lineage(embed_rows(pieces, "source_text", self.embedder, failed="_cl_failed"))
+        for path, count in sorted(tuple(r) for r in embedded.where("_cl_failed").groupBy("file_path").count().collect()):
+            result.embeddings_failed += count
+            result.failed_files.append((path, "embedding"))
+            log.report("file:failed", path=path, reason="embedding", chunks=count)
+        embedded = embedded.where("NOT _cl_failed").drop("_cl_failed")
         result.embeddings_stored += embedded.count()
         self._write("embeddings", schemas.EMBEDDINGS, embedded, repo_id, gone)
 

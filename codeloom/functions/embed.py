@@ -45,15 +45,31 @@ class HashingEmbedder:
         return out
 
 
-def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
-    """Input plus model, dim and vector; rows whose embedding fails or is empty go (K4)."""
+def embed_rows(rows: DataFrame, text: str, embedder: Embedder, failed: str | None = None) -> DataFrame:
+    """Input plus model, dim and vector; rows whose embedding is empty go (K4).
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(embedder.embed(texts.fillna("").tolist()))
-        except Exception:  # a failing batch loses its rows, not the run
-            return pd.Series([None] * len(texts))
+    Where a batch fails its texts are embedded one by one, so that only those that fail have no vector.
+    Their rows go too, but stay with the flag ``failed`` where such a column is named.
+    """
 
-    vector: Column = run(F.col(text))
-    return rows.withColumns({"model": F.lit(embedder.model), "dim": F.lit(embedder.dim), "vector": vector}).where("vector IS NOT NULL AND size(vector) > 0")
+    @F.pandas_udf("vector array<float>, failed boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        listed = texts.fillna("").tolist()
+        try:
+            return pd.DataFrame({"vector": pd.Series(list(embedder.embed(listed)), dtype=object), "failed": [False] * len(listed)})
+        except Exception:  # a failing text loses its row, not the batch or the run
+            vectors, flags = [], []
+            for one in listed:
+                try:
+                    vectors.append(embedder.embed([one])[0])
+                    flags.append(False)
+                except Exception:
+                    vectors.append(None)
+                    flags.append(True)
+            return pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "failed": flags})
+
+    done: Column = run(F.col(text))
+    out = rows.withColumn("_cl_done", done).withColumns({"model": F.lit(embedder.model), "dim": F.lit(embedder.dim), "vector": F.col("_cl_done.vector")})
+    if failed is None:
+        return out.drop("_cl_done").where("vector IS NOT NULL AND size(vector) > 0")
+    return out.withColumn(failed, F.col("_cl_done.failed")).drop("_cl_done").where(F.col(failed) | (F.col("vector").isNotNull() & (F.size("vector") > 0)))
