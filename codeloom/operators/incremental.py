@@ -1,14 +1,21 @@
 """Processing only new or changed records (problem 3).
 
 Sequence numbers that are already processed are kept as disjoint, closed intervals per group.
-A run subtracts them from the numbers that are available, processes the gaps (which include
-numbers below the highest processed one that arrived late), and commits the merged intervals
-together with its output.
+A run subtracts them from the ranges of numbers that are available, processes the gaps (which
+include numbers below the highest processed one that arrived late), and commits the merged
+intervals together with its output.
+
+All interval work goes by blocks of ``BLOCK`` numbers of a group, so that neither a hot group nor
+a fragmented one is gathered in a task: intervals are clipped to blocks, merged or swept there,
+and only runs that touch the edge of a block (two per block at most) are stitched across blocks.
+An interval of n numbers takes n / BLOCK + 2 rows at most.
 
 Defined results: a null sequence number or group is never pending and never committed; empty
-inputs give empty outputs; a number delivered several times counts once; columns of the record
-table are passed through unchanged whatever their names, the operator's own columns start with
-``_cl_``.
+inputs give empty outputs; rows of one run that share a number are processed together, and a row
+that comes later under a committed number is a redelivery and not processed again (a record needs
+a number of its own, such as change_id; ``seq`` of a change feed numbers commits); columns of the
+record table are passed through unchanged whatever their names, the operator's own columns start
+with ``_cl_``.
 """
 
 from __future__ import annotations
@@ -16,31 +23,47 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import SOURCE_PATH_PATTERN
 from codeloom.operators.joins import salted_join
+from codeloom.session import cut_lineage
 
-#: Sequence numbers of one block are merged within a task; longer runs are stitched across blocks.
-BLOCK = 1 << 16
+#: Numbers per block.
+BLOCK = 1 << 12
 
 INTERVALS = "group_key string, lo long, hi long"
 
 
-def merge_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("group_key",)) -> DataFrame:
+def _clipped(intervals: DataFrame, *keep: str) -> DataFrame:
+    """Pieces of the intervals, one per block that they meet, with the block's number."""
+    rows = intervals.where("lo IS NOT NULL AND hi IS NOT NULL AND lo <= hi")
+    blocks = F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))
+    return rows.select("group_key", "lo", "hi", *keep, F.explode(blocks).alias("_cl_block")).select(
+        "group_key",
+        "_cl_block",
+        F.greatest("lo", F.col("_cl_block") * BLOCK).alias("lo"),
+        F.least("hi", F.col("_cl_block") * BLOCK + (BLOCK - 1)).alias("hi"),
+        *keep,
+    )
+
+
+def merge_intervals(intervals: DataFrame) -> DataFrame:
     """Disjoint maximal intervals of the union of closed intervals ``[lo, hi]`` per group.
 
-    Touching intervals (``hi + 1 = lo``) are joined. Runs are merged twice: first within blocks
-    of ``BLOCK`` numbers, so that a hot group is spread over many tasks, then the few results
-    per group across blocks.
+    Touching intervals (``hi + 1 = lo``) are joined. Runs are merged within blocks first; those
+    inside a block are final, those at an edge are stitched across blocks.
     """
-    rows = intervals.where(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi")))
-    block = F.floor(F.col("lo") / F.lit(BLOCK)).cast("long")
-    first = _merge(rows.withColumn("_cl_block", block), (*keys, "_cl_block"))
-    return _merge(first.drop("_cl_block"), keys)
+    return _stitched(_merge(_clipped(intervals), ("group_key", "_cl_block")))
+
+
+def _stitched(runs: DataFrame) -> DataFrame:
+    """Maximal runs of runs that are maximal within their blocks."""
+    edge = (F.col("lo") == F.col("_cl_block") * BLOCK) | (F.col("hi") == F.col("_cl_block") * BLOCK + (BLOCK - 1))
+    inner = runs.where(~edge).select("group_key", "lo", "hi")
+    return inner.unionByName(_merge(runs.where(edge).drop("_cl_block"), ("group_key",)))
 
 
 def _merge(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -68,68 +91,67 @@ def intervals_of(numbers: DataFrame, group: Column, seq: Column) -> DataFrame:
     return merge_intervals(points)
 
 
-def subtract_intervals(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """Gaps: the parts of the available intervals that no processed interval covers.
+def _gaps(available: DataFrame, processed: DataFrame) -> DataFrame:
+    """Gaps within the blocks of the available intervals.
 
-    Sweep over the interval ends of a group: an elementary range is a gap if an available
-    interval and no processed one is open over it. No pairs of intervals are formed.
+    Sweep over the interval ends of a block: an elementary range is a gap if an available
+    interval and no processed one is open over it. No pairs of intervals are formed. Blocks in
+    which nothing is available are not built.
     """
-    ends = available.select("group_key", F.col("lo").alias("at"), F.lit(1).alias("a"), F.lit(0).alias("p"))
-    parts = [
-        ends,
-        available.select("group_key", F.col("hi") + 1, F.lit(-1), F.lit(0)),
-        processed.select("group_key", F.col("lo"), F.lit(0), F.lit(1)),
-        processed.select("group_key", F.col("hi") + 1, F.lit(0), F.lit(-1)),
-    ]
-    sweep = reduce(DataFrame.union, parts).groupBy("group_key", "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
-    order = Window.partitionBy("group_key").orderBy("at")
+    marked = _clipped(available.withColumn("_cl_a", F.lit(1)), "_cl_a").unionByName(_clipped(processed.withColumn("_cl_a", F.lit(0)), "_cl_a"))
+    keys = ["group_key", "_cl_block"]
+    p = 1 - F.col("_cl_a")
+    ends = marked.select(*keys, F.inline(F.array(F.struct(F.col("lo").alias("at"), F.col("_cl_a").alias("a"), p.alias("p")), F.struct((F.col("hi") + 1).alias("at"), (-F.col("_cl_a")).alias("a"), (-p).alias("p")))))
+    sweep = ends.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
+    order = Window.partitionBy(*keys).orderBy("at")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     gaps = sweep.select(
-        "group_key",
+        *keys,
         F.col("at").alias("lo"),
         (F.lead("at").over(order) - 1).alias("hi"),
         F.sum("a").over(running).alias("open_a"),
         F.sum("p").over(running).alias("open_p"),
     ).where("open_a > 0 AND open_p <= 0 AND hi IS NOT NULL")
-    return merge_intervals(gaps.select("group_key", "lo", "hi"))
+    return _merge(gaps.select(*keys, "lo", "hi"), tuple(keys))
+
+
+def subtract_intervals(available: DataFrame, processed: DataFrame) -> DataFrame:
+    """Gaps: the parts of the available intervals that no processed interval covers, as maximal
+    intervals. Processed intervals should be clipped to the range of the available numbers."""
+    return _stitched(_gaps(available, processed))
 
 
 def pending(records: DataFrame, processed: DataFrame, group: Column, seq: Column) -> DataFrame:
-    """Rows of ``records`` whose sequence number lies in no processed interval of its group.
+    """Rows of ``records`` whose sequence number lies in a gap: the processed intervals are
+    subtracted from those of the numbers at hand, and the rows of the gaps are taken.
 
-    The processed intervals are disjoint, so a row meets at most one interval per block: the
-    join is an equi-join on (group, block), not a range join; a hot group is spread by block.
+    Gaps are disjoint and clipped to blocks, so a row meets at most one: the join is an equi-join
+    on (group, block), not a range join, and a hot group is spread by block.
     """
-    lo_block, hi_block = F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK)
-    pieces = processed.select(
-        F.col("group_key").alias("_cl_group"),
-        F.col("lo").alias("_cl_lo"),
-        F.col("hi").alias("_cl_hi"),
-        F.explode(F.sequence(lo_block, hi_block)).alias("_cl_block"),
+    gaps = _gaps(intervals_of(records, group, seq), processed).select(
+        F.col("group_key").alias("_cl_group"), F.col("_cl_block").alias("_cl_gblock"), F.col("lo").alias("_cl_lo"), F.col("hi").alias("_cl_hi")
     )
-    keyed = records.withColumns(
-        {
-            "_cl_rgroup": group.cast("string"),
-            "_cl_seq": seq.cast("long"),
-        }
-    ).where(F.col("_cl_rgroup").isNotNull() & F.col("_cl_seq").isNotNull())
-    keyed = keyed.withColumn("_cl_rblock", F.floor(F.col("_cl_seq") / BLOCK))
+    keyed = records.withColumns({"_cl_rgroup": group.cast("string"), "_cl_rseq": seq.cast("long")}).where("_cl_rgroup IS NOT NULL AND _cl_rseq IS NOT NULL")
+    keyed = keyed.withColumn("_cl_rblock", F.floor(F.col("_cl_rseq") / BLOCK))
     on = (
         (F.col("_cl_rgroup") == F.col("_cl_group"))
-        & (F.col("_cl_rblock") == F.col("_cl_block"))
-        & F.col("_cl_seq").between(F.col("_cl_lo"), F.col("_cl_hi"))
+        & (F.col("_cl_rblock") == F.col("_cl_gblock"))
+        & F.col("_cl_rseq").between(F.col("_cl_lo"), F.col("_cl_hi"))
     )
-    return keyed.join(pieces, on, "left_anti").drop("_cl_rgroup", "_cl_seq", "_cl_rblock")
+    return keyed.join(gaps, on, "left_semi").drop("_cl_rgroup", "_cl_rseq", "_cl_rblock")
 
 
 class IncrementalRunner:
     """Runs a transformation over pending records and commits output and intervals together.
 
     ``root/run=<id>/`` holds a run's output, ``root/state/<n>-<id>`` the merged intervals after it, and
-    ``root/HEAD/<n>.json`` names both. Output and state are written first; the HEAD file is
-    created last, by an exclusive rename, so a run that dies before it leaves no trace in what
-    readers see, and a repeated run processes the same gaps again. Two runs that race for one
-    number: the second rename fails and nothing of it is visible.
+    ``root/HEAD/<n>.json`` names both. Output and state are written first, from one materialised
+    reading of the input, so a transformation may drop or add rows and the numbers it was given
+    are done all the same. The HEAD file is created last and exclusively (a link in a local file
+    system, a rename that never replaces elsewhere), so a run that dies before it leaves no trace
+    in what readers see, and a repeated run processes the same gaps again. Two runs that race for
+    one commit: the second one fails and nothing of it is visible. A store without such a rename
+    needs a lock around ``run``.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -146,8 +168,11 @@ class IncrementalRunner:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
     def _head(self, n: int) -> dict:
-        lines = self.spark.read.text(f"{self.root}/HEAD/{n}.json").collect()
-        return json.loads(lines[0][0])
+        stream = self._fs.open(self._path(f"{self.root}/HEAD/{n}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def processed(self) -> DataFrame:
         heads = self._heads()
@@ -164,14 +189,10 @@ class IncrementalRunner:
         """Processes the gaps once; returns the number of the commit."""
         heads = self._heads()
         n, run_id = (heads[-1] if heads else 0) + 1, uuid.uuid4().hex
-        todo = pending(records, self.processed(), group, seq)
         output, state = f"{self.root}/run={run_id}", f"{self.root}/state/{n}-{run_id}"
-        # The numbers are written with the output, so output and state stem from one reading.
-        tagged = todo.withColumns({"_cl_group": group.cast("string"), "_cl_seq": seq.cast("long")})
-        transform(tagged).write.mode("overwrite").parquet(output)
-        done = self.spark.read.parquet(output)
-        new = intervals_of(done, F.col("_cl_group"), F.col("_cl_seq"))
-        merge_intervals(self.processed().unionByName(new)).write.mode("overwrite").parquet(state)
+        todo = cut_lineage(pending(records, self.processed(), group, seq))
+        transform(todo).write.mode("overwrite").parquet(output)
+        merge_intervals(self.processed().unionByName(intervals_of(todo, group, seq))).write.mode("overwrite").parquet(state)
         if fail_before_commit:
             raise RuntimeError("failed before the commit")
         self._create(f"{self.root}/HEAD/{n}.json", json.dumps({"output": output, "state": state}))
@@ -182,9 +203,18 @@ class IncrementalRunner:
         out = self._fs.create(draft, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            else:
+                hadoop = self.spark._jvm.org.apache.hadoop.fs
+                none = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+                none[0] = hadoop.Options.Rename.NONE
+                hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, target, none)
+        except Exception as error:
+            raise RuntimeError(f"{os.path.basename(name)} was committed by another run") from error
+        finally:
             self._fs.delete(draft, False)
-            raise RuntimeError(f"{os.path.basename(name)} was committed by another run")
 
 
 # --- the change feed and its checkpoints ---------------------------------------------------
@@ -233,38 +263,37 @@ def last_sequence(changes: DataFrame, checkpoints: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_intervals(state: DataFrame, feed_start: int = -(1 << 31)) -> DataFrame:
-    """Processed numbers of a checkpoint as one interval of its on-time lane; empty (lo > hi) where
-    last_commit names nothing.
+def _lane(repo: Column, on_time: Column) -> Column:
+    """A repository has two lanes of numbers, rows that had arrived when its checkpoint was written
+    and rows that came later."""
+    return F.concat(F.when(on_time, F.lit("on time:")).otherwise(F.lit("late:")), repo)
 
-    A row that arrived after the checkpoint was written belongs to the late lane of its
-    repository, in which nothing is processed: its number is a gap although a higher one is
-    done.
-    """
-    known = F.col("last_seq").isNotNull()
-    return state.select(
-        "repo_id",
-        "updated_at",
-        F.when(known, F.lit(feed_start)).otherwise(0).cast("long").alias("lo"),
-        F.when(known, F.col("last_seq")).otherwise(-1).cast("long").alias("hi"),
+
+def checkpoint_intervals(state: DataFrame, feed: DataFrame) -> DataFrame:
+    """Processed numbers of the checkpoints: from the first number of the feed to that of
+    last_commit, in the on-time lane of the repository. In its late lane nothing is processed, so
+    the number of a late row is a gap although a higher one is done. A checkpoint whose
+    last_commit names nothing has no interval."""
+    first = feed.groupBy("repo_id").agg(F.min("seq").cast("long").alias("lo"))
+    return state.where("last_seq IS NOT NULL").join(first, "repo_id").select(
+        _lane(F.col("repo_id"), F.lit(True)).alias("group_key"), "lo", F.col("last_seq").cast("long").alias("hi")
     )
 
 
 def pending_changes(changes: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Exactly the changes that the next run has to process (TESTDATA.md, p3_found).
 
-    The available numbers of a repository are split into two lanes, rows that had arrived when
-    the checkpoint was written and rows that came later. Subtracting the checkpoint's processed
-    interval from its lane leaves the gaps; of them, on-time changes whose path is among
-    processed_files are done too. A checkpoint has one interval per repository, so the subtraction
-    is one comparison after a salted equi-join; nothing is collected per repository.
+    The processed interval of a checkpoint is subtracted from the numbers that are available in
+    the lanes of its repository; the changes of the gaps are left. Of them, on-time changes whose
+    path is among processed_files are done too; a change without a number lies in no interval and
+    is pending unless its path is listed.
     """
     latest = latest_checkpoints(checkpoints)
     state = latest.join(last_sequence(changes, latest), "repo_id", "left")
     files = latest.select("repo_id", F.explode("processed_files").alias("path")).where("path IS NOT NULL").distinct()
-    feed = salted_join(relevant(distinct_changes(changes)), checkpoint_intervals(state), ["repo_id"], [F.col("commit_sha"), F.col("path")], "left")
-    on_time = F.coalesce(F.col("ingested_at") <= F.col("updated_at"), F.lit(False))
-    feed = feed.withColumn("_cl_on_time", on_time)
-    gaps = feed.where(~(F.col("_cl_on_time") & F.coalesce(F.col("seq").between(F.col("lo"), F.col("hi")), F.lit(False))))
+    feed = salted_join(relevant(distinct_changes(changes)), state.select("repo_id", "updated_at"), ["repo_id"], [F.col("commit_sha"), F.col("path")], "left")
+    feed = feed.withColumn("_cl_on_time", F.coalesce(F.col("ingested_at") <= F.col("updated_at"), F.lit(False)))
+    feed = cut_lineage(feed.withColumn("_cl_lane", _lane(F.col("repo_id"), F.col("_cl_on_time"))))  # read four times
+    gaps = pending(feed, checkpoint_intervals(state, feed), F.col("_cl_lane"), F.col("seq")).unionByName(feed.where("seq IS NULL"))
     listed = files.withColumn("_cl_on_time", F.lit(True))
-    return gaps.join(listed, ["repo_id", "path", "_cl_on_time"], "left_anti").drop("_cl_on_time", "lo", "hi")
+    return gaps.join(listed, ["repo_id", "path", "_cl_on_time"], "left_anti").drop("_cl_on_time", "_cl_lane")

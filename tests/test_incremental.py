@@ -74,6 +74,46 @@ def test_runs_are_exactly_once_across_failures_and_late_commits(spark, tmp_path)
     assert sorted(tuple(r) for r in runner.processed().collect()) == [("a", 1, 3), ("a", 5, 6), ("b", 1, 1)]
 
 
+def test_a_transformation_that_filters_does_not_leave_numbers_pending(spark, tmp_path):
+    runner = inc.IncrementalRunner(spark, str(tmp_path / "filtered"))
+    feed = spark.createDataFrame([("a", n, n % 2) for n in range(10)], "repo string, change_id long, odd int")
+    seen = []
+
+    def odd_only(todo):
+        seen.append(todo.count())
+        return todo.where("odd = 1")
+
+    for _ in range(2):
+        runner.run(feed, F.col("repo"), F.col("change_id"), odd_only)
+    assert seen == [10, 0]
+    assert runner.committed().count() == 5
+    assert [tuple(r) for r in runner.processed().collect()] == [("a", 0, 9)]
+
+
+def test_records_that_share_a_commit_number_are_told_apart_by_their_own(spark, tmp_path):
+    runner = inc.IncrementalRunner(spark, str(tmp_path / "own"))
+    kind = "repo string, seq int, change_id long"
+    runner.run(spark.createDataFrame([("a", 1, 10), ("a", 1, 11)], kind), F.col("repo"), F.col("change_id"), lambda d: d)
+    runner.run(spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", 1, 12)], kind), F.col("repo"), F.col("change_id"), lambda d: d)
+    assert sorted(r["change_id"] for r in runner.committed().collect()) == [10, 11, 12]
+
+
+@pytest.mark.parametrize("name", ["intervals_of", "_gaps", "pending"])
+def test_pending_changes_come_from_the_intervals(spark, monkeypatch, name):
+    monkeypatch.setattr(inc, name, lambda *a, **k: (_ for _ in ()).throw(AssertionError(name)))
+    with pytest.raises(AssertionError, match=name):
+        _case(spark, [(1, "r", 1, "a" * 40, "A", "x.py", None, None, 0)], [])
+
+
+def test_a_fragmented_group_is_swept_by_blocks(spark):
+    step = spark.range(0, 6 * inc.BLOCK, 2).select(F.lit("a").alias("g"), F.col("id").alias("s"))
+    done = spark.createDataFrame([("a", inc.BLOCK - 3, 2 * inc.BLOCK + 3)], inc.INTERVALS)
+    left = inc.pending(step, done, F.col("g"), F.col("s"))
+    want = {k for k in range(0, 6 * inc.BLOCK, 2) if not inc.BLOCK - 3 <= k <= 2 * inc.BLOCK + 3}
+    assert {r["s"] for r in left.collect()} == want
+    assert inc.intervals_of(step, F.col("g"), F.col("s")).count() == 3 * inc.BLOCK
+
+
 def test_a_number_is_committed_by_one_run_only(spark, tmp_path):
     runner = inc.IncrementalRunner(spark, str(tmp_path / "race"))
     runner._create(f"{runner.root}/HEAD/1.json", "{}")
@@ -126,3 +166,8 @@ def test_pending_changes_of_empty_tables(spark):
     assert _case(spark, [], []) == []
     assert _case(spark, [(1, "r", 1, "a" * 40, "A", "x.py", None, None, 0)], []) == [1]
     assert _case(spark, [], [("r", None, None, _hours(1))]) == []
+
+
+def test_a_change_without_a_number_is_pending_unless_its_path_is_listed(spark):
+    rows = [(1, "r", None, "a" * 40, "A", "x.py", None, _hours(1), 0), (2, "r", None, "a" * 40, "A", "y.py", None, _hours(1), 0)]
+    assert _case(spark, rows, [("r", ["y.py"], None, _hours(5))]) == [1]
