@@ -27,13 +27,15 @@ _OPS = r"<<=|>>=|\*\*=|===|!==|\?\?=|&&=|\|\|=|\.\.\.|\.\.=|<=>|->\*|=>|->|::|:=
 _BEFORE_REGEX = r"[(,=:\[!&|?{};+*%~^]"
 _REGEX_BODY = r"/(?![*/])(?:[^\\/\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _JS_REGEX = rf"(?:(?<={_BEFORE_REGEX})|(?<={_BEFORE_REGEX} )|(?<=return )|(?<=^)){_REGEX_BODY}"
+#: Where tags are read, a slash before the end of a tag starts no literal.
+_TSX_REGEX = rf"(?!/>)(?:{_JS_REGEX})"
 _TEMPLATE = r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]++|\{[^{}]*+\}|`[^`]*+`)*+\})*+`"
 #: The end of a tag with the text up to the next tag; text may hold quotes that open nothing.
 _JSX_TEXT = r">[^<>{}=;()]*(?=</[A-Za-z>])"
 _CONFLICT = r"(?m:^(?:<{7}|>{7}|={7}|\|{7})(?=[ \n]|$)[^\n]*)"
 
 _PATTERNS = {
-    "tsx": "|".join([_SPACE, _JSX_TEXT, _CONFLICT, _LINE, _BLOCK, _DQ, _SQ, _TEMPLATE, _JS_REGEX, _NUMBER, r"\#" + _WORD, _WORD, _OPS]),
+    "tsx": "|".join([_SPACE, _JSX_TEXT, _CONFLICT, _LINE, _BLOCK, _DQ, _SQ, _TEMPLATE, _TSX_REGEX, _NUMBER, r"\#" + _WORD, _WORD, _OPS]),
     "js": "|".join([_SPACE, _CONFLICT, _LINE, _BLOCK, _DQ, _SQ, _TEMPLATE, _JS_REGEX, _NUMBER, r"\#" + _WORD, _WORD, _OPS]),
     "go": "|".join([_SPACE, _CONFLICT, _LINE, _BLOCK, _DQ, r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'", r"`[^`]*`", _NUMBER, _WORD, _OPS]),
     "rust": "|".join(
