@@ -13,14 +13,18 @@ the sum starts at the block's offset. The same is done over the blocks of virtua
 Defined results: sources are compared without case, outer blanks, and with blanks and hyphens as
 underscores; documents of a source without a target, or with null id, are left out; null and empty
 texts have no tokens and are left out; repeated rows of a document count once (of several texts of
-one id the first in string order); a target that is null or not above zero, or a null or
+one id the one with the smallest hash); a target that is null or not above zero, or a null or
 non-positive cap, gives the source nothing. Several rows of one target source: the largest share
-with its cap counts. Targets are normalised to sum 1. An empty table gives an empty mix.
+with its cap counts. Targets are normalised to sum 1 over the sources that have documents; a source
+without any is reported with nothing reached. A source that has given all its copies is dry: the
+others go on in their proportion until the budget is filled or all are dry, and the shares reached
+are reported. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -83,24 +87,33 @@ def mix(documents: DataFrame, weights: DataFrame, budget: int | None = None, tok
     spark = documents.sparkSession
     goal = targets(weights)
     goals = spark.createDataFrame(goal, "source string, share double, cap long")
-    single = (
+    rows = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text")
         .where("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND text <> ''")
         .join(F.broadcast(goals.select("source")), "source")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("text", "source")).alias("d"))
     )
+    # Texts end here: their tokens are counted where they are read.
+    counts = rows.select("doc_id", "source", F.xxhash64("text").alias("hash"), token_count(F.col("text"), tokenizer).alias("tokens"))
     counted = cut_lineage(
-        single.select("doc_id", "d.source", token_count(F.col("d.text"), tokenizer).alias("tokens"), F.xxhash64("doc_id", F.lit(seed)).alias("turn")).where("tokens > 0")
+        counts.groupBy("doc_id")
+        .agg(F.min(F.struct("hash", "tokens", "source")).alias("d"))
+        .select("doc_id", "d.source", "d.tokens", F.xxhash64("doc_id", F.lit(seed)).alias("turn"))
+        .where("tokens > 0")
     )
-    totals = {r["source"]: (r["tokens"], r["rows"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
-    if not goal or not totals:
+    totals = {
+        r["source"]: (r["tokens"], r["rows"], r["longest"])
+        for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.max("tokens").alias("longest")).collect()
+    }
+    filled = [(s, share, cap) for s, share, cap in goal if s in totals]
+    if not filled:
         none = spark.createDataFrame([], "doc_id long, source string, copy_no int, tokens long, finish_time double")
         return Mix(none, _shares(none, goals, 0))
+    whole = sum(share for _, share, _ in filled)
+    filled = [(s, share / whole, cap) for s, share, cap in filled]
     if budget is None:
-        budget = int(min(totals.get(s, (0, 0))[0] * cap / share for s, share, cap in goal))
-    rows = sum(r for _, r in totals.values())
-    blocks = max(1, rows // BLOCK_ROWS)
+        budget = int(min(totals[s][0] * cap / share for s, share, cap in filled))
+    documents_in = sum(r for _, r, _ in totals.values())
+    blocks = max(1, documents_in // BLOCK_ROWS)
 
     # Running tokens within a source: block offsets, then sums within blocks.
     placed = counted.withColumn("block", F.floor((F.col("turn") / F.lit(2.0**64) + 0.5) * blocks))
@@ -110,22 +123,36 @@ def mix(documents: DataFrame, weights: DataFrame, budget: int | None = None, tok
     inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     running = placed.join(offsets, ["source", "block"]).select("doc_id", "source", "tokens", (F.col("offset") + F.sum("tokens").over(inside)).alias("upto"))
 
-    sized = spark.createDataFrame([(s, share, cap, totals.get(s, (0, 0))[0]) for s, share, cap in goal], "source string, share double, cap long, total long")
-    repeated = running.join(F.broadcast(sized), "source").withColumn(
-        "rounds", F.least(F.col("cap"), F.ceil((F.lit(float(budget)) * F.col("share") - F.col("upto")) / F.col("total")) + 2)
-    )
-    copies = repeated.where("rounds > 0").select(
-        "doc_id", "source", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("k"), "upto", "total", "share"
+    until = last_time([(share, cap * totals[s][0]) for s, share, cap in filled], budget + sum(totals[s][2] for s, _, _ in filled)) * (1 + 1e-9)
+    sized = spark.createDataFrame(
+        [(s, share, min(cap, math.ceil(until * share / totals[s][0]) + 1), totals[s][0]) for s, share, cap in filled], "source string, share double, rounds long, total long"
     )
     finish = (F.col("k") * F.col("total") + F.col("upto")) / F.col("share")
-    # A source that is running dry cannot make others fill its share: times beyond the budget plus one document are never taken.
-    queue = copies.select("doc_id", "source", F.col("k").cast("int").alias("copy_no"), "tokens", finish.alias("finish_time")).where(F.col("finish_time") <= 2.0 * budget + 1)
-    return _truncate(queue, goals, budget, max(1, 4 * rows // BLOCK_ROWS))
+    queue = (
+        running.join(F.broadcast(sized), "source")
+        .select("doc_id", "source", "tokens", "upto", "total", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("k"))
+        .select("doc_id", "source", F.col("k").cast("int").alias("copy_no"), "tokens", finish.alias("finish_time"))
+        .where(F.col("finish_time") <= until)
+    )
+    return _truncate(queue, goals, budget, until, max(1, 4 * documents_in // BLOCK_ROWS))
+
+
+def last_time(sources: list[tuple[float, float]], tokens: float) -> float:
+    """Virtual time until which (share, capacity) sources give so many tokens, dry ones their capacity
+    only; the time at which the last is dry if that is less. No copy beyond the time for the budget
+    and one document of each source can be among the first copies that fill the budget."""
+    dry = sorted((capacity / share, share, capacity) for share, capacity in sources)
+    given, rate = 0.0, sum(share for _, share, _ in dry)
+    for time, share, capacity in dry:
+        if given + rate * time >= tokens:
+            return (tokens - given) / rate
+        given, rate = given + capacity, rate - share
+    return dry[-1][0] if dry else 0.0
 
 
-def _truncate(queue: DataFrame, goals: DataFrame, budget: int, blocks: int) -> Mix:
+def _truncate(queue: DataFrame, goals: DataFrame, budget: int, until: float, blocks: int) -> Mix:
     """Prefix of the queue in the order of finish times whose tokens fit the budget."""
-    width = max(1.0, 2.0 * budget / blocks)
+    width = max(1.0, until / blocks)
     timed = queue.withColumn("slot", F.floor(F.col("finish_time") / width))
     sums = timed.groupBy("slot").agg(F.sum("tokens").alias("s"))
     # One row per block of time; their number follows the input, divided by BLOCK_ROWS.

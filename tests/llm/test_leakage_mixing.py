@@ -104,6 +104,33 @@ def test_the_queue_is_cut_at_a_given_budget(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_a_dry_source_leaves_its_share_to_the_others(spark):
+    rows = [(i, "a", "one two three four") for i in range(10)] + [(100 + i, "b", "one two three four") for i in range(30)]
+    weights = spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 100)], WEIGHTS)
+    out = M.mix(_documents(spark, rows), weights, budget=2000)
+    shares = {r["source"]: r for r in out.shares.collect()}
+    assert shares["a"]["tokens"] == 80 and shares["a"]["most_repeats"] == 2
+    assert shares["a"]["tokens"] + shares["b"]["tokens"] == 2000 and shares["b"]["most_repeats"] == 16
+    everything = M.mix(_documents(spark, rows), weights, budget=10**9)
+    assert {r["source"]: r["copies"] for r in everything.shares.collect()} == {"a": 20, "b": 3000}
+
+
+def test_a_source_without_documents_does_not_empty_the_mix(spark):
+    rows = [(i, "a" if i % 2 else "b", "one two three four") for i in range(40)]
+    weights = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 1), ("missing", 0.2, 5)], WEIGHTS)
+    shares = {r["source"]: r for r in M.mix(_documents(spark, rows), weights).shares.collect()}
+    assert shares["missing"]["tokens"] == 0 and shares["missing"]["target_share"] == 0.2
+    assert shares["a"]["reached_share"] == 0.5 and shares["a"]["documents"] == 20
+
+
+def test_last_time_is_where_the_sources_give_the_tokens():
+    sources = [(0.5, 10.0), (0.3, 100.0), (0.2, 4.0)]
+    for tokens in (1.0, 12.0, 30.0, 100.0):
+        time = M.last_time(sources, tokens)
+        assert abs(sum(min(capacity, share * time) for share, capacity in sources) - tokens) < 1e-9
+    assert M.last_time(sources, 1000.0) == 100.0 / 0.3 and M.last_time([], 1.0) == 0.0
+
+
 def test_blocks_do_not_change_the_result(spark, monkeypatch):
     rows = [(i, "a" if i % 3 else "b", "one two " * (1 + i % 5)) for i in range(150)]
     weights = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], WEIGHTS)
