@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.joins import salted_join
 from codeloom.session import cut_lineage, shuffle_partitions
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+", re.ASCII)
@@ -46,7 +47,7 @@ SLOT_BITS = 22
 #: Runs that a pair has to share in the inverted lists of heavy sets.
 SHARED = 4
 #: Boundaries that are weighed against each other.
-BOUNDARIES = (0, 4, 6, 8, 10, 12, 16, 20, 24, 32)
+BOUNDARIES = (0, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Costs in units of sending a key (8 bytes): a pair that meets in a list is a row of 32 bytes that
 #: is shuffled and summed up; a candidate is verified on both sets.
 MEETING_COST, CANDIDATE_COST = 4.0, 25.0
@@ -55,6 +56,10 @@ MEETING_COST, CANDIDATE_COST = 4.0, 25.0
 SURVIVING, TOGETHER = 0.02, 0.05
 #: Keys of one bucket, about (8 bytes each).
 BUCKET_KEYS = 1_000_000
+#: Longer lists are cut into blocks of so many classes, and pairs of blocks go to tasks of their own.
+LIST_BLOCK = 4_096
+#: Bits of the number that tells a class's size and how many of its keys fell together.
+SIZE_BITS = 24
 
 
 class _Memo(dict):
@@ -257,7 +262,9 @@ def _send_keys(signed: DataFrame, counts, plan: Plan, buckets: int, threshold: f
                     places.append(np.full(len(key), len(classes), np.uint32))
                     held += len(key)
                 classes.append(cls)
-                sizes.append(n)
+                # Keys travel by 32 bits; those of one class that fall together lower what its pairs have to share.
+                fallen = sum(len(key) - len(np.unique(key & np.uint64(0xFFFFFFFF))) for key in own)
+                sizes.append(n | min(fallen, 127) << SIZE_BITS)
                 if held > 2_000_000:
                     yield flush()
                     keys, places, classes, sizes, held = [], [], [], [], 0
@@ -267,17 +274,76 @@ def _send_keys(signed: DataFrame, counts, plan: Plan, buckets: int, threshold: f
     return signed.select("class_id", "n", "runs").mapInPandas(send, KEYS)
 
 
+MEETINGS = "a long, b long, need long, hits long, left binary, right binary"
+
+
+def _packed(found: list[np.ndarray]) -> pd.DataFrame:
+    rows, hits = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "need": rows[:, 2], "hits": hits.astype(np.int64), "left": None, "right": None})
+
+
+def _needs(single: np.ndarray, size: np.ndarray, fallen: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys that a pair with its smaller set of this size has to share."""
+    wanted = np.minimum(SHARED, np.ceil(threshold * size - 1e-9).astype(np.int64)) - fallen
+    return np.where(single, np.maximum(1, wanted), 1)
+
+
+def _pairs_of(key: np.ndarray, cls: np.ndarray, size: np.ndarray, fallen: np.ndarray, threshold: float) -> Iterator[pd.DataFrame]:
+    """Pairs within lists; entries are in the order of key, size, class."""
+    needs = _needs(key & 1 == 0, size, fallen, threshold)
+    at, step, found, held = np.arange(len(key)), 1, [], 0
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[(key[at] == key[at + step]) & (size[at] >= threshold * size[at + step] - 1e-9)]
+        if len(at):
+            a, b = cls[at], cls[at + step]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(needs[at], _needs(key[at] & 1 == 0, size[at], fallen[at + step], threshold))], 1))
+            held += len(at)
+        step += 1
+        if held > 1_000_000:
+            yield _packed(found)
+            found, held = [], 0
+    if found:
+        yield _packed(found)
+
+
+_ENTRY = np.dtype([("cls", np.int64), ("size", np.int32), ("fallen", np.int32)])
+
+
+def _block_pairs(cls: np.ndarray, size: np.ndarray, fallen: np.ndarray, single: bool, threshold: float) -> Iterator[pd.DataFrame]:
+    """Rows of pairs of blocks of one long list (``need`` tells its kind); those whose sizes rule a match out are left away."""
+    entries = np.empty(len(cls), _ENTRY)
+    entries["cls"], entries["size"], entries["fallen"] = cls, size, fallen
+    blocks = [entries[k : k + LIST_BLOCK] for k in range(0, len(entries), LIST_BLOCK)]
+    for i, left in enumerate(blocks):
+        fits = [right for right in blocks[i:] if left["size"][-1] >= threshold * right["size"][0] - 1e-9]
+        yield pd.DataFrame({"a": 0, "b": [int(right is left) for right in fits], "need": int(single), "hits": 0, "left": left.tobytes(), "right": [right.tobytes() for right in fits]})
+
+
+def _pair_blocks(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for same, single, one, two in zip(batch["b"], batch["need"], batch["left"], batch["right"], strict=True):
+            left, right = np.frombuffer(one, _ENTRY), np.frombuffer(two, _ENTRY)
+            if same:
+                yield from _pairs_of(np.full(len(left), 0 if single else 1), left["cls"], left["size"], left["fallen"], threshold)
+                continue
+            for k in range(0, len(left), 256):  # a part of the left block against the right one
+                part = left[k : k + 256]
+                i, j = np.nonzero(part["size"][:, None] >= threshold * right["size"][None, :] - 1e-9)
+                if len(i):
+                    a, b = part["cls"][i], right["cls"][j]
+                    needs = _needs(np.full(len(i), bool(single)), part["size"][i], np.maximum(part["fallen"][i], right["fallen"][j]), threshold)
+                    yield _packed([np.stack([np.minimum(a, b), np.maximum(a, b), needs], 1)])
+
+
 def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
     """Candidate pairs of classes from the lists of each bucket, smaller class id first.
 
     The lowest bit of a key tells 2-subsets of light sets (one in common makes a candidate) from
-    single runs (a pair needs as many in common as the smaller of its sets asks for).
+    single runs (a pair needs as many in common as the smaller of its sets asks for). A list of more
+    than ``LIST_BLOCK`` classes is cut into blocks, whose pairs are spread over all tasks.
     """
 
-    def pack(found: list[np.ndarray]) -> pd.DataFrame:
-        rows, hits = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "need": rows[:, 2], "hits": hits.astype(np.int64)})
-
     def lists(blobs: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = np.concatenate([np.frombuffer(b, np.uint32) for b in blobs["keys"]])
         cls = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(p, np.uint32)] for c, p in zip(blobs["classes"], blobs["places"], strict=True)])
@@ -288,26 +354,22 @@ def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
         key, cls, size = key[same], cls[same], size[same]
+        fallen, size = size >> SIZE_BITS, size & ((1 << SIZE_BITS) - 1)
         order = np.lexsort((cls, size, key))
-        key, cls, size = key[order], cls[order], size[order]
+        key, cls, size, fallen = key[order], cls[order], size[order], fallen[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, size = key[fresh], cls[fresh], size[fresh]
-        needs = np.where(key & 1, 1, np.minimum(SHARED, np.maximum(1, np.ceil(threshold * size - 1e-9).astype(np.int64))))
-        at, step, found, held = np.arange(len(key)), 1, [], 0
-        while len(at):
-            at = at[at + step < len(key)]
-            at = at[(key[at] == key[at + step]) & (size[at] >= threshold * size[at + step] - 1e-9)]
-            if len(at):
-                a, b = cls[at], cls[at + step]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), needs[at]], 1))
-                held += len(at)
-            step += 1
-            if held > 1_000_000:
-                yield pack(found)
-                found, held = [], 0
-        if found:
-            yield pack(found)
+        key, cls, size, fallen = key[fresh], cls[fresh], size[fresh], fallen[fresh]
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], len(key))
+        short = np.ones(len(key), bool)
+        for a, b in zip(starts, ends, strict=True) if (ends - starts).max() > LIST_BLOCK else ():
+            if b - a > LIST_BLOCK:
+                short[a:b] = False
+                yield from _block_pairs(cls[a:b], size[a:b], fallen[a:b], not key[a] & 1, threshold)
+        yield from _pairs_of(key[short], cls[short], size[short], fallen[short], threshold)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, parts = None, []
@@ -322,8 +384,10 @@ def _meet(sent: DataFrame, buckets: int, threshold: float) -> DataFrame:
             yield from lists(pd.concat(parts))
 
     spread = sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket")
-    met = spread.mapInPandas(scan, "a long, b long, need long, hits long")
-    return met.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("hits").alias("hits")).where("hits >= need").select("a", "b")
+    met = cut_lineage(spread.mapInPandas(scan, MEETINGS))
+    blocks = met.where("left IS NOT NULL").repartition(max(buckets, shuffle_partitions(sent.sparkSession)))
+    paired = met.where("left IS NULL").unionByName(blocks.mapInPandas(lambda batches: _pair_blocks(batches, threshold), MEETINGS))
+    return paired.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("hits").alias("hits")).where("hits >= need").select("a", "b")
 
 
 _FILTER_BITS = 22
@@ -390,7 +454,8 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0
     across = links.join(one, "a").join(two, "b").where("x <> y")
     several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("class_id")
     copies = members.join(several, "class_id")
-    within = copies.select("class_id", F.col("id").alias("x")).join(copies.select("class_id", F.col("id").alias("y")), "class_id").where("x < y")
+    # The copies of a class are spread, so that a hot one is not paired in one task.
+    within = salted_join(copies.select("class_id", F.col("id").alias("x")), copies.select("class_id", F.col("id").alias("y")), ["class_id"], [F.col("x")]).where("x < y")
     pairs = across.select("x", "y").unionByName(within.select("x", "y"))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,28 @@ def test_pairs_equal_brute_force(spark, seed, threshold):
     assert _pairs(spark, rows, threshold) == _brute(rows, threshold)
 
 
+@pytest.mark.parametrize("boundary", [0, 12])
+def test_long_lists_are_paired_by_blocks(spark, monkeypatch, boundary):
+    monkeypatch.setattr(N, "LIST_BLOCK", 7)
+    monkeypatch.setattr(N, "choose_boundary", lambda sizes, threshold: N.Plan(boundary, 1000))
+    rng = random.Random(9)
+    rows = _corpus(5, 60) + [(1000 + i, "one hot run here " + " ".join(rng.choice("pqrs") for _ in range(rng.randint(1, 4)))) for i in range(80)]
+    assert _pairs(spark, rows) == _brute(rows)
+
+
+def test_pairs_of_blocks_are_those_of_the_list():
+    rng = np.random.default_rng(4)
+    size = np.sort(rng.integers(5, 30, 50))
+    cls, fallen = rng.permutation(50).astype(np.int64), (rng.random(50) < 0.1).astype(np.int64)
+    whole = pd.concat(N._pairs_of(np.zeros(50, np.int64), cls, size, fallen, 0.6))
+    old, N.LIST_BLOCK = N.LIST_BLOCK, 8
+    try:
+        parts = pd.concat(N._pair_blocks(N._block_pairs(cls, size, fallen, True, 0.6), 0.6))
+    finally:
+        N.LIST_BLOCK = old
+    assert sorted(map(tuple, whole[["a", "b", "need", "hits"]].to_numpy())) == sorted(map(tuple, parts[["a", "b", "need", "hits"]].to_numpy()))
+
+
 @pytest.mark.parametrize("boundary", [0, 8, 32])
 def test_any_boundary_gives_the_same_pairs(spark, monkeypatch, boundary):
     monkeypatch.setattr(N, "choose_boundary", lambda sizes, threshold: N.Plan(boundary, 1000))
