@@ -131,13 +131,19 @@ def _grammar(family: str) -> Parser:
     params = rule("params", balanced("(", ")", many(first(text, token(_STRING), token("['\"`]")))), keep=True)
     blank = rule("blank", token(r"[ \t\f]*\r?\n"), keep=True)
     name = rule("name", token(_NAME), keep=True)
-    types = maybe(token(r"\s*<[^(){};]*>"))
+    group = balanced("(", ")", many(first(text, token(_STRING), token("['\"`]"))))
+    braces = balanced("{", "}", first(token(r"[^{}\"'`]+"), token(_STRING), token("['\"`]")))
+    brackets = balanced("[", "]", first(token(r"[^\[\]\"'`]+"), token(_STRING), token("['\"`]")))
+    angles = balanced("<", ">", first(token(r"(?:->|=>|[^<>(){};\"'`]|'(?=\w+\b(?!')))+"), group, braces, token(_STRING)))
+    types = maybe(seq(token(r"\s*"), angles))
+    line_end = token(r"[ \t]*\r?\n")
+    decorator = first(seq(token(r"[ \t]*@[\w.]+"), group, line_end), token(r"[ \t]*@[^\n]*\n"))
     line = token(r"[ \t]*//[^\n]*(?:\n|$)")
     block = token(r"[ \t]*/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/[ \t]*\r?\n?")
     if family == "python":
         comment = rule("comment", token(r"[ \t]*#[^\n]*(?:\n|$)"), keep=True)
-        attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
-        head = seq(token(r"[ \t]*(?:async[ \t]+)?def[ \t]+"), name, maybe(token(r"\[[^\]]*\]")), token(r"[ \t]*"), params, token(r"(?:[ \t]*->[^\n]*?)?[ \t]*:"))
+        attribute = rule("attribute", decorator, keep=True)
+        head = seq(token(r"[ \t]*(?:async[ \t]+)?def[ \t]+"), name, maybe(brackets), token(r"[ \t]*"), params, token(r"(?:[ \t]*->[^\n]*?)?[ \t]*:"))
         gap = many(token(r"[ \t]*(?:#[^\n]*)?\r?\n"))
         triple = r'[rRuUbB]{0,2}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\')'
         single = r'[rRuUbB]{0,2}(?:"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\')'
@@ -146,17 +152,20 @@ def _grammar(family: str) -> Parser:
     else:
         comment = rule("comment", first(line, block), keep=True)
         if family == "rust":
-            attribute = rule("attribute", token(r"[ \t]*#!?\[[^\n]*\][ \t]*\r?\n"), keep=True)
+            attribute = rule("attribute", seq(token(r"[ \t]*#!?"), brackets, line_end), keep=True)
             header = seq(token(r"\s*+(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|default|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+"), name, types, token(r"\s*"), params)
         elif family == "go":
             attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
             receiver = maybe(seq(token(r"\([^()]*\)\s*")))
-            header = seq(token(r"\s*+func\s+"), receiver, name, maybe(token(r"\[[^\]]*\]")), params)
+            header = seq(token(r"\s*+func\s+"), receiver, name, maybe(brackets), params)
         elif family == "cpp":
-            attribute = rule("attribute", token(r"[ \t]*(?:\[\[[^\n]*\]\]|template\s*<[^\n]*>|#[^\n]*)[ \t]*\r?\n"), keep=True)
-            header = seq(token(r"\s*+(?:[\w:~&*<>,\[\]]++\s++){0,16}?[*&]{0,4}(?:[\w<>]{1,80}::){0,8}~?(?=[A-Za-z_]\w*+\s{0,4}\()"), name, token(r"\s*"), params)
+            template = seq(token(r"[ \t]*template\s*"), angles, line_end)
+            attribute = rule("attribute", first(template, seq(token(r"[ \t]*(?=\[\[)"), brackets, line_end), token(r"[ \t]*#[^\n]*\n")), keep=True)
+            # Specifiers and the type, word by word; then qualifiers and the name before a bracket.
+            before_name = r"[*&]*+(?:[\w<>]++::)*+~?(?=[A-Za-z_]\w*+\s*+\()"
+            header = seq(maybe(seq(token(r"\s*template\s*"), angles)), token(rf"\s*+(?:[\w:~&*<>,\[\]]++\s++)*?{before_name}"), name, token(r"\s*"), params)
         else:
-            attribute = rule("attribute", token(r"[ \t]*@[^\n]*\n"), keep=True)
+            attribute = rule("attribute", decorator, keep=True)
             words = r"\s*+(?:(?:export|default|declare|async|static|public|private|protected|readonly|override|abstract|get|set)\s+)*"
             plain = seq(token(words + r"(?:function\s*\*?\s*)?\*?#?"), name, types, token(r"\s*"), params)
             arrow = seq(token(words + r"(?:const|let|var)\s+"), name, token(r"(?:\s*:[^=]+)?\s*=\s*(?:async\s+)?(?:function\s*\w*\s*)?"), types, token(r"\s*"), params)
@@ -197,7 +206,7 @@ _LICENCE = re.compile(
     r"(?i)^\W*(?:\(c\)|©|copyright\b|spdx-|licen[cs]ed under|all rights reserved|released under|distributed under|this (?:file|code|software|program) is (?:free|licen[cs]ed|distributed)|permission is hereby|the above copyright|redistribution and use)|\bdistributed under an? [\w-]+ licen[cs]e"
 )
 _EMPTY_PHRASE = re.compile(
-    r"(?i)^\W*(?:(?:no|missing|add|insert|write|needs?) (?:a )?(?:description|documentation|docs?|docstring|comment)\b.*|(?:description|documentation|docs?|docstring|comment)s? (?:goes here|pending|missing|to follow|here|needed|todo)|not (?:yet )?documented.*|undocumented.*|self[- ]explanatory|see (?:above|below|name|code)|internal(?: helper)?(?: function)?|helper(?: function| method)?|lorem ipsum.*|older comment,? to be replaced.*|\{?@?inherit-?doc\}?|same as above|as above|n/?a|none)\W*$"
+    r"(?i)^\W*(?:(?:no|missing|add|insert|write|needs?) (?:a )?(?:description|documentation|docs?|docstring|comment)\b.*|(?:description|documentation|docs?|docstring|comment)s? (?:goes here|pending|missing|to follow|here|needed|todo)|not (?:yet )?documented.*|undocumented.*|self[- ]explanatory|see (?:above|below|name|code)|internal(?: helper)?(?: function)?|helper(?: function| method)?|lorem ipsum.*|(?:old|older|outdated|stale|temporary) (?:comment|docs?|text),? (?:to be|will be|should be) (?:replaced|rewritten|updated|removed)[^.]*|\{?@?inherit-?doc\}?|same as above|as above|n/?a|none)\W*$"
 )
 _TAG = re.compile(r"^\s*(?:[@\\][A-Za-z]+\b|:[A-Za-z]+(?:\s+[\w.*]+)*:|(?:Args|Arguments|Parameters|Params|Returns|Return|Raises|Yields|Throws)\s*:\s*$)")
 #: Tags that introduce the description itself.
@@ -342,24 +351,24 @@ def pair(text: str | None, path: str | None, language: str | None, symbol: str |
 DOC = "struct<description:string, doc_start:int, doc_end:int, code_start:int>"
 
 
-def is_function(symbol_type: Column) -> Column:
-    return F.lower(F.regexp_replace(symbol_type, r"^\s+|\s+$", "")) == "function"
+def is_kind(symbol_type: Column, kinds: tuple[str, ...]) -> Column:
+    return F.lower(F.regexp_replace(symbol_type, r"^\s+|\s+$", "")).isin(*kinds)
 
 
-def extract(chunks: DataFrame) -> DataFrame:
-    """Input plus ``doc``, null where there is no informative description. Map-only."""
+def extract(chunks: DataFrame, kinds: tuple[str, ...] = ("function",)) -> DataFrame:
+    """Chunks of the kinds plus ``doc``, null where there is no informative description. Map-only."""
 
     @F.pandas_udf(DOC)
     def read(text: pd.Series, path: pd.Series, language: pd.Series, symbol: pd.Series) -> pd.DataFrame:
         rows = [pair(*x) or (None,) * 4 for x in zip(text, path, language, symbol, strict=True)]
         return pd.DataFrame(rows, columns=["description", "doc_start", "doc_end", "code_start"]).astype({c: "Int32" for c in ("doc_start", "doc_end", "code_start")})
 
-    return chunks.where(is_function(F.col("symbol_type"))).withColumn("doc", read("source_text", "file_path", "language", "symbol_name"))
+    return chunks.where(is_kind(F.col("symbol_type"), kinds)).withColumn("doc", read("source_text", "file_path", "language", "symbol_name"))
 
 
 def pairs(chunks: DataFrame) -> DataFrame:
-    """One row per described function: its description and its code without leading comments."""
-    described = extract(chunks).where("doc.description IS NOT NULL")
+    """One row per described function or method: its description and its code without leading comments."""
+    described = extract(chunks, ("function", "method")).where("doc.description IS NOT NULL")
     return described.select(
         "chunk_id",
         "symbol_name",

@@ -45,7 +45,8 @@ _INDENT = re.compile(r"[ \t]*")
 def _stretches(core: str, longest: int) -> list[tuple[int, bool]]:
     """(end, at a line end) of the stretches of a range."""
     out, at = [], 0
-    for line in core.splitlines(keepends=True) if "\r" not in core and "\x0b" not in core and "\x0c" not in core else re.findall(r"[^\n]*\n|[^\n]+", core):
+    lines = core.split("\n")  # a line ends with a line feed and nothing else
+    for line in [*(x + "\n" for x in lines[:-1]), lines[-1]]:
         end = at + len(line)
         while end - at > longest:
             window = core[at : at + longest]
@@ -207,30 +208,26 @@ def oversized(rows: DataFrame, text: str, max_lines: int = MAX_LINES, max_chars:
 def cell_boundaries(
     items: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_LINES, range_chars: int = RANGE_CHARS
 ) -> DataFrame:
-    """Boundary tables of the texts of ``items`` (item, text), range by range."""
+    """Boundary tables of the texts of ``items`` (item, text), range by range. A text is read once; its
+    ranges come out in order, so the time is linear in its length."""
     halo = 2 * max_chars // 5 + 64
-    size = F.length("text")
-    parts = items.select("item", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(size / range_chars) - 1, F.lit(0)))).alias("part"))
-    lo = F.col("part") * range_chars
-    cut = parts.select(
-        "item",
-        F.col("part").cast("long").alias("part"),
-        lo.cast("long").alias("lo"),
-        F.expr(f"substring(text, part * {range_chars} + 1, {range_chars})").alias("core"),
-        F.expr(f"substring(text, greatest(part * {range_chars} - {halo}, 0) + 1, least(part * {range_chars}, {halo}))").alias("left"),
-        F.expr(f"substring(text, (part + 1) * {range_chars} + 1, 256)").alias("right"),
-    )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                left = ("\x00" if r.lo == len(r.left) else "") + r.left if r.left else ""
-                found = boundaries(r.core, left, r.right, max_lines, max_chars, overlap)
-                rows.append(_row(r.item, r.part, r.lo, len(r.core), found))
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                for part, lo in enumerate(range(0, max(1, len(text)), range_chars)):
+                    core = text[lo : lo + range_chars]
+                    left = ("\x00" if lo and lo <= halo else "") + text[max(0, lo - halo) : lo]
+                    found = boundaries(core, left, text[lo + range_chars : lo + range_chars + 256], max_lines, max_chars, overlap)
+                    rows.append(_row(item, part, lo, len(core), found))
+                    if len(rows) >= 256:
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        rows = []
+        if rows:
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return cut.mapInPandas(read, BOUNDARY_TABLE)
+    return items.select("item", "text").mapInPandas(read, BOUNDARY_TABLE)
 
 
 def split_cells(

@@ -79,3 +79,26 @@ def test_tables(spark):
     out = D.pairs(spark.createDataFrame(rows, kind)).collect()
     assert [r["chunk_id"] for r in out] == [1, 1] and out[0]["code"].startswith("function")
     assert D.pairs(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "path,text",
+    [
+        ("a.cpp", "// Splits the ledger into parts of equal weight.\n" + "static inline constexpr const volatile unsigned long long int " * 3 + "foo(int a) {\n}"),
+        ("a.cpp", "/** Splits the ledger into parts of equal weight. */\ntemplate <typename T,\n  typename U>\nstd::map<int, std::vector<T>> ns::Foo<T>::bar(int a) {}"),
+        ("a.rs", "/// Splits the ledger into parts of equal weight.\nfn f<F: Fn(i32) -> i32>(g: F) {}"),
+        ("a.rs", "/// Splits the ledger into parts of equal weight.\n#[derive(\n  A,\n  B\n)]\nfn f(a: u8) {}"),
+        ("a.ts", "/** Splits the ledger into parts of equal weight. */\nfunction f<T extends { id: string }>(x: T) {}"),
+        ("a.ts", "/** Splits the ledger into parts of equal weight. */\n@Dec({\n a: 1\n})\nfoo(a) {}"),
+        ("a.go", "// Splits the ledger into parts of equal weight.\nfunc F[K comparable, V []int](x K) {}"),
+    ],
+)
+def test_long_headers_nested_generics_and_attributes_over_lines(path, text):
+    assert D.pair(text, path, None, None)[0] == "Splits the ledger into parts of equal weight."
+
+
+def test_methods_are_paired_too(spark):
+    kind = "chunk_id long, symbol_name string, symbol_type string, file_path string, language string, source_text string"
+    body = "// Splits the ledger into parts of equal weight.\nfoo(a) {}\n"
+    rows = [(1, "foo", "function", "a.js", None, body), (2, "foo", " Method ", "a.js", None, body), (3, "foo", "class", "a.js", None, body)]
+    assert sorted(r["chunk_id"] for r in D.pairs(spark.createDataFrame(rows, kind)).collect()) == [1, 2]

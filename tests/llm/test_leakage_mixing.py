@@ -63,6 +63,21 @@ def test_shared_passages_name_all_items_and_spans_are_removed(spark):
     assert out[2]["dropped"] and out[2]["text"] is None and out[3]["text"] == tail and out[4]["text"] is None
 
 
+def test_spans_are_cut_where_lower_case_is_longer(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, None, passage, None)], ITEMS)
+    rows = [(1, f"İİİİ keep {passage} tail stays here and more words follow it now"), (1, "another text of the id"), (2, "İ " + passage.upper() + " a b c d e f g h i j k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"], r["removed_words"]) for r in L.decontaminate(docs, L.scan(docs, items), 0.9).collect())
+    assert out == [(1, "another text of the id", 0), (1, "İİİİ keep  tail stays here and more words follow it now", 12), (2, "İ  a b c d e f g h i j k l m n o", 12)]
+
+
+def test_runs_that_repeat_in_items_name_them_all():
+    words = " ".join(f"w{i}" for i in range(13))
+    passages = L.Passages([(7, words, None), (9, None, "x " + words), (11, "w1 w2", words[:-4])], 12)
+    assert passages.hits([words, None, "", words[:-4] + " q"]) == [[(0, (7, 9, 11)), (1, (7, 9))], [], [], [(0, (7, 9, 11))]]
+
+
 WEIGHTS = "source string, target_share double, max_repeats int"
 
 

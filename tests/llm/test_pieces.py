@@ -95,3 +95,9 @@ def test_files_are_cut_by_byte_ranges(spark, tmp_path):
     empty = str(tmp_path / "empty")
     open(empty, "w").close()
     assert P.split_files(spark, [(empty, 0)]).count() <= 1
+
+
+def test_only_line_feeds_end_lines():
+    text = "a\u2028b\x85c\x1dd\r\x0be\nf\n"
+    assert P._stretches(text, 1000) == [(text.index("\n") + 1, True), (len(text), True)]
+    assert P._stretches("", 10) == [] and P._stretches("\n\nx", 10) == [(1, True), (2, True), (3, False)]
