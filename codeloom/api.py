@@ -152,9 +152,11 @@ class Engine:
         files = files.where("content IS NOT NULL")
         result.files_processed = files.count()
         if batch_files:
-            numbered = cut_lineage(files.withColumn("_cl_batch", F.floor((F.row_number().over(_rank("relative_path")) - 1) / batch_files)))
+            # Only the paths are numbered in one order; the contents stay where they are.
+            order = files.select("relative_path").withColumn("_cl_batch", F.floor((F.row_number().over(_rank("relative_path")) - 1) / batch_files))
+            numbered = cut_lineage(files.join(order, "relative_path"))
             if gone is None:
-                for name in (*_NODES, "file_nodes", "call_sites", "embeddings"):
+                for name in (*_NODES, "file_nodes", "call_sites", "embeddings", "contains", "has_method"):
                     self.tables.drop_partition(name, repo_id)
             else:
                 self._index_files(result, log, files.limit(0), repo_id, gone)
@@ -179,9 +181,14 @@ class Engine:
         symbols = cut_lineage(parse_files(files))
         result.symbols_extracted += symbols.where("kind <> 'call'").count()
         self._write("file_nodes", schemas.FILE_NODES, files.select("repo_id", F.col("relative_path").alias("file_path"), "language"), repo_id, gone)
+        nodes = {}
         for name, (kind, schema) in _NODES.items():
-            fresh = graph.last_wins(symbols.where(F.col("kind") == kind), graph.NODE_KEYS[kind], [F.col("ordinal")])
-            self._write(name, schema, fresh, repo_id, gone)
+            nodes[kind] = graph.last_wins(symbols.where(F.col("kind") == kind), graph.NODE_KEYS[kind], [F.col("ordinal")])
+            self._write(name, schema, nodes[kind], repo_id, gone)
+        own = files.select("repo_id", F.col("relative_path").alias("file_path"))
+        held = symbols.where("kind <> 'call'").select("repo_id", "file_path", "kind", F.when(F.col("kind") == "import", F.col("module_path")).otherwise(F.col("name")).alias("name"))
+        self._write("contains", schemas.CONTAINS, graph.contains(own, held), repo_id, gone)
+        self._write("has_method", schemas.HAS_METHOD, graph.has_method(nodes["class"], nodes["function"]), repo_id, gone)
         sites = symbols.where("kind = 'call'").select("repo_id", "file_path", F.col("name").alias("callee_name"), "caller_name", "ordinal")
         self._write("call_sites", schemas.CALL_SITES, sites, repo_id, gone)
         pieces = chunking.extract_chunks(files.withColumnRenamed("relative_path", "file_path"), symbols)
@@ -251,8 +258,10 @@ class Engine:
         columns = ["repo_id", "file_path", "name", "start_line", "end_line", "language", "ordinal"]
         kinds = [(kind, self.tables.read(table, schema).select(*columns)) for table, (kind, schema) in _NODES.items() if kind != "import"]
         symbols = lookup.in_repositories(lookup.tagged(kinds), self.repos()).join(targets, "repo_id", "left_semi")
-        hits = lookup.exact_else_prefix(symbols, name)
-        stored = self.tables.read("embeddings", schemas.EMBEDDINGS)
+        hits = cut_lineage(lookup.exact_else_prefix(symbols, name))
+        asked = hits.select("repo_id", "file_path", F.col("name").alias("base_name")).distinct()
+        # Texts of the hits only; the rest of the table is neither shuffled nor aggregated.
+        stored = self.tables.read("embeddings", schemas.EMBEDDINGS).join(asked, ["repo_id", "file_path", "base_name"], "left_semi")
         texts = stored.groupBy("repo_id", "file_path", F.col("base_name").alias("name")).agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "source_text"))), lambda x: x["source_text"]), "\n").alias("source_text")
         )
@@ -271,10 +280,10 @@ class Engine:
         seeds = cut_lineage(seeds)
         edges = self.tables.read("call_edges", schemas.CALL_EDGES)
         targets = seeds.select("repo_id", F.col("base_name").alias("name"), "file_path")
-        near = graph.neighbors(edges, targets)
+        near = cut_lineage(graph.neighbors(edges, targets))
         texts = self.tables.read("embeddings", schemas.EMBEDDINGS).select(
             "repo_id", F.col("file_path").alias("neighbor_file"), F.col("base_name").alias("neighbor"), F.col("source_text").alias("text"), F.col("start_line").alias("n_line")
-        )
+        ).join(near.select("repo_id", "neighbor_file", "neighbor").distinct(), ["repo_id", "neighbor_file", "neighbor"], "left_semi")
         one = texts.groupBy("repo_id", "neighbor_file", "neighbor").agg(F.min(F.struct("n_line", "text"))["text"].alias("text"))
         seed_of = seeds.select("repo_id", F.col("base_name").alias("name"), "file_path", "rank", F.col("language").alias("seed_language"))
         related = (
@@ -304,14 +313,17 @@ class Engine:
         return bundle.format_bundle(lines).first()["bundle"]
 
     def health(self) -> bool:
-        """The session answers and the registry can be read."""
-        return self.spark.sql("SELECT 1").first()[0] == 1 and self.repos().limit(1).count() >= 0
+        """The session answers, and the registry and the tables of the index can be read."""
+        tables = [(name, schema) for name, (_, schema) in _NODES.items()] + [("call_edges", schemas.CALL_EDGES), ("embeddings", schemas.EMBEDDINGS)]
+        readable = all(self.tables.read(name, schema).limit(1).count() >= 0 for name, schema in tables)
+        return self.spark.sql("SELECT 1").first()[0] == 1 and self.repos().limit(1).count() >= 0 and readable
 
     def stats(self) -> dict[str, int]:
         """Row counts of all tables."""
         out = {name: self.tables.read(name, schema).count() for name, (_, schema) in _NODES.items()}
         out["repos"] = self.repos().count()
-        out["call_edges"] = self.tables.read("call_edges", schemas.CALL_EDGES).count()
+        for name, schema in (("call_edges", schemas.CALL_EDGES), ("contains", schemas.CONTAINS), ("has_method", schemas.HAS_METHOD)):
+            out[name] = self.tables.read(name, schema).count()
         out["embeddings"] = self.tables.read("embeddings", schemas.EMBEDDINGS).count()
         return out
 

@@ -46,12 +46,7 @@ def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown of each class of the chunk table, lines unknown where there is no end."""
-    return _markdown(table(spark, sf_dir, "chunks").where("lower(trim(symbol_type)) = 'class'"))
-
-
-def bundle_markdown_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown of every chunk, as ``bundle_markdown``."""
+    """Markdown of every chunk, lines unknown where there is no end."""
     return _markdown(table(spark, sf_dir, "chunks"))
 
 
@@ -74,7 +69,7 @@ fold AS (
     hit OR used >= {budget} OR (items[i].size <> 0 AND used + items[i].size > {budget}), i + 1
   FROM fold WHERE i <= coalesce(len(items), 0))
 """
-QUERIES = {f.__name__: f for f in (bundle_seed_fill, bundle_related_fill, context_bundle, bundle_markdown, bundle_markdown_all)}
+QUERIES = {f.__name__: f for f in (bundle_seed_fill, bundle_related_fill, context_bundle, bundle_markdown)}
 SQL = {
     "bundle_seed_fill": f"""
 WITH once AS (SELECT repo_id, text, min(doc_id) AS doc_id FROM documents WHERE repo_id IS NOT NULL AND text IS NOT NULL GROUP BY repo_id, text)
@@ -100,10 +95,5 @@ FROM fold WHERE i = coalesce(len(items), 0) + 1""",
 SELECT chunk_id, md5('### ' || coalesce(symbol_name, '?') || chr(10) || file_path || ' (' ||
   CASE WHEN end_line IS NULL OR start_line IS NULL OR start_line = 0 THEN 'lines unknown' ELSE 'lines ' || start_line || '-' || end_line END
   || ')' || chr(10) || '```' || coalesce(language, '') || chr(10) || source_text || chr(10) || '```') AS markdown
-FROM (SELECT DISTINCT chunk_id, symbol_name, file_path, start_line, end_line, language, source_text FROM chunks WHERE lower(trim(symbol_type)) = 'class')""",
-    "bundle_markdown_all": """
-SELECT chunk_id, md5('### ' || coalesce(symbol_name, '?') || chr(10) || file_path || ' (' ||
-  CASE WHEN end_line IS NULL OR start_line IS NULL OR start_line = 0 THEN 'lines unknown' ELSE 'lines ' || start_line || '-' || end_line END
-  || ')' || chr(10) || '```' || coalesce(language, '') || chr(10) || source_text || chr(10) || '```') AS markdown
 FROM (SELECT DISTINCT chunk_id, symbol_name, file_path, start_line, end_line, language, source_text FROM chunks)""",
 }

@@ -69,11 +69,14 @@ def chunk_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leading_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the comment above the last line of each chunk's first ten lines begins."""
+    """Where the comment above the declaration of each chunk begins: the first line of the whole text
+    that is neither blank nor a comment, or the last line where there is none."""
     rows = table(spark, sf_dir, "chunks").select("chunk_id", "source_text").where("source_text IS NOT NULL").distinct()
-    lines = text_functions.lines(F.col("source_text"))
-    index = F.least(F.size(lines) - 1, F.lit(9))
-    return rows.select("chunk_id", index.alias("line"), chunking.leading_comment_start(lines, index).alias("starts"))
+    lined = rows.select("chunk_id", text_functions.lines(F.col("source_text")).alias("lines"))
+    declares = F.transform("lines", lambda x: ~F.regexp_replace(x, r"^\s+|\s+$", "").rlike(_NO_CODE))
+    first = F.array_position(declares, True).cast("int")
+    index = F.when(first > 0, first - 1).otherwise(F.size("lines") - 1)
+    return lined.withColumn("line", index).select("chunk_id", "line", chunking.leading_comment_start(F.col("lines"), F.col("line")).alias("starts"))
 
 
 def leading_comment_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,9 @@ def leading_comment_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lined.select("repo_id", "file_path", F.inline(begins))
 
 
+#: A trimmed line that is blank or a comment.
+_NO_CODE = r"^($|//|#|\*|\"{3}|'{3}|/\*)"
+
 _KINDS = """
 WITH kinds AS (
   SELECT 'function' AS symbol_type, c_custkey AS id, c_name AS name FROM customer
@@ -129,7 +135,8 @@ SQL = {
     "leading_comment": r"""
 WITH RECURSIVE lined AS (
   SELECT chunk_id, string_split(source_text, chr(10)) AS ls FROM (SELECT DISTINCT chunk_id, source_text FROM chunks WHERE source_text IS NOT NULL)),
-start AS (SELECT chunk_id, ls[:10] AS ls, least(len(ls) - 1, 9) AS line FROM lined),
+placed AS (SELECT *, list_position(list_transform(ls, lambda x: NOT regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^($|//|#|\*|"{3}|''{3}|/\*)')), true) AS p FROM lined),
+start AS (SELECT chunk_id, CASE WHEN p > 0 THEN ls[:p] ELSE ls END AS ls, CASE WHEN p > 0 THEN p - 1 ELSE len(ls) - 1 END AS line FROM placed),
 fold AS (
   SELECT chunk_id, ls, line, line AS result, line - 1 AS pos, 0 AS blanks, false AS stopped FROM start
   UNION ALL

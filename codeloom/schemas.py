@@ -9,6 +9,8 @@ TYPES = CLASSES
 IMPORTS = "repo_id string, file_path string, module_path string, symbols array<string>, ordinal int"
 CALL_SITES = "repo_id string, file_path string, callee_name string, caller_name string, ordinal int"
 CALL_EDGES = "repo_id string, caller_name string, caller_file string, callee_name string, callee_file string, cross_file boolean"
+CONTAINS = "repo_id string, file_path string, kind string, name string"
+HAS_METHOD = "repo_id string, file_path string, class_name string, method string"
 CHUNKS = (
     "repo_id string, file_path string, symbol_name string, base_name string, class_name string, symbol_type string, start_line int, "
     "end_line int, language string, source_text string"

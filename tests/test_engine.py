@@ -19,7 +19,7 @@ def _write(root, name, text):
 
 def _tables(engine, repo):
     out = {}
-    for name in ("functions", "classes", "imports", "call_edges", "call_sites", "embeddings"):
+    for name in ("functions", "classes", "imports", "call_edges", "call_sites", "embeddings", "contains", "has_method"):
         frame = engine.tables.read(name, getattr(schemas, name.upper())).where(f"repo_id = '{repo}'")
         out[name] = sorted(repr(sorted(r.asDict().items(), key=str)) for r in frame.collect())
     return out
@@ -42,6 +42,12 @@ def test_index_search_lookup_and_bundle(spark, tmp_path, checkout):
     assert result.symbols_extracted == 6 and result.embeddings_stored == 6
     assert [r["name"] for r in engine.list_repos().collect()] == ["demo"]
 
+    methods = engine.tables.read("has_method", schemas.HAS_METHOD).collect()
+    assert [(r["file_path"], r["class_name"], r["method"]) for r in methods] == [("src/parse.py", "Reader", "read_line")]
+    held = {(r["kind"], r["name"]) for r in engine.tables.read("contains", schemas.CONTAINS).where("file_path = 'src/parse.py'").collect()}
+    assert held == {("class", "Reader"), ("function", "read_line"), ("function", "parse_lines")}
+    assert engine.health() and engine.stats()["contains"] == 6
+
     hits = engine.search("load settings path", min_score=0.1, k=3).collect()
     assert hits[0]["symbol_name"] == "load_settings"
     assert engine.search("load settings", language="typescript", min_score=-1.0).count() == 2

@@ -42,6 +42,6 @@ def test_comments_above_declarations_are_found_in_the_whole_text(spark):
 
 def test_chunks_of_all_kinds_are_formatted(spark):
     chunks = table(spark, DATA, "chunks")
-    found = {r["chunk_id"] for r in bundles.QUERIES["bundle_markdown_all"](spark, DATA).where("markdown IS NOT NULL").collect()}
+    found = {r["chunk_id"] for r in bundles.QUERIES["bundle_markdown"](spark, DATA).where("markdown IS NOT NULL").collect()}
     assert found == {r["chunk_id"] for r in chunks.where("source_text IS NOT NULL").select("chunk_id").collect()}
     assert {r["k"] for r in chunks.where(chunks["chunk_id"].isin(*found)).selectExpr("lower(trim(symbol_type)) AS k").distinct().collect()} > {"class"}
