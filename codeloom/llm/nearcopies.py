@@ -461,15 +461,18 @@ def near_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0
 
 
 def groups(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.6) -> DataFrame:
-    """One row per record: its class, its group (smallest class that links lead to) and the number
-    of links of its class to other classes. Links within classes of copies are not expanded."""
+    """(id, class_id, group_id, links), one row per record and class: the smallest id of its class, the
+    smallest id of the records that links lead to, and the number of links of its class to other
+    classes. Links within classes of copies are not expanded."""
     signed = cut_lineage(signatures(rows, id_col, text_col))
     links = cut_lineage(similar_classes(signed, threshold).select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    classes = signed.groupBy("class_id").agg(F.min("id").alias("first"))
+    found = components(links).withColumnRenamed("node", "class_id")
+    placed = classes.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    named = placed.join(placed.groupBy("component").agg(F.min("first").alias("group_id")), "component").join(degree, "class_id", "left")
     members = signed.select("id", "class_id").distinct()
-    found = components(links)
-    out = members.join(found, members["class_id"] == found["node"], "left").join(degree, "class_id", "left")
-    return out.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(named, "class_id").select("id", F.col("first").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
