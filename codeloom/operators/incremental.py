@@ -80,25 +80,29 @@ def _merge(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
-def intervals_of(numbers: DataFrame, group: Column, seq: Column) -> DataFrame:
-    """Disjoint intervals of the sequence numbers that occur."""
+def intervals_of(numbers: DataFrame, group: Column, seq: Column, whole: bool = True) -> DataFrame:
+    """Disjoint intervals of the sequence numbers that occur; without ``whole`` clipped to blocks, with
+    the block's number."""
     points = (
         numbers.select(group.cast("string").alias("group_key"), seq.cast("long").alias("lo"))
         .where("group_key IS NOT NULL AND lo IS NOT NULL")
         .distinct()
-        .withColumn("hi", F.col("lo"))
+        .withColumns({"hi": F.col("lo"), "_cl_block": F.floor(F.col("lo") / BLOCK)})
     )
-    return merge_intervals(points)
+    runs = _merge(points, ("group_key", "_cl_block"))
+    return _stitched(runs) if whole else runs
 
 
-def _gaps(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """Gaps within the blocks of the available intervals.
+def subtract_intervals(available: DataFrame, processed: DataFrame, whole: bool = True) -> DataFrame:
+    """Gaps: the parts of the available intervals that no processed interval covers, as maximal
+    intervals; without ``whole`` clipped to blocks, with the block's number. Processed intervals
+    should be clipped to the range of the available numbers.
 
     Sweep over the interval ends of a block: an elementary range is a gap if an available
-    interval and no processed one is open over it. No pairs of intervals are formed. Blocks in
-    which nothing is available are not built.
+    interval and no processed one is open over it. No pairs of intervals are formed.
     """
-    marked = _clipped(available.withColumn("_cl_a", F.lit(1)), "_cl_a").unionByName(_clipped(processed.withColumn("_cl_a", F.lit(0)), "_cl_a"))
+    pieces = available if "_cl_block" in available.columns else _clipped(available)
+    marked = pieces.withColumn("_cl_a", F.lit(1)).unionByName(_clipped(processed.withColumn("_cl_a", F.lit(0)), "_cl_a"))
     keys = ["group_key", "_cl_block"]
     p = 1 - F.col("_cl_a")
     ends = marked.select(*keys, F.inline(F.array(F.struct(F.col("lo").alias("at"), F.col("_cl_a").alias("a"), p.alias("p")), F.struct((F.col("hi") + 1).alias("at"), (-F.col("_cl_a")).alias("a"), (-p).alias("p")))))
@@ -112,13 +116,8 @@ def _gaps(available: DataFrame, processed: DataFrame) -> DataFrame:
         F.sum("a").over(running).alias("open_a"),
         F.sum("p").over(running).alias("open_p"),
     ).where("open_a > 0 AND open_p <= 0 AND hi IS NOT NULL")
-    return _merge(gaps.select(*keys, "lo", "hi"), tuple(keys))
-
-
-def subtract_intervals(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """Gaps: the parts of the available intervals that no processed interval covers, as maximal
-    intervals. Processed intervals should be clipped to the range of the available numbers."""
-    return _stitched(_gaps(available, processed))
+    runs = _merge(gaps.select(*keys, "lo", "hi"), tuple(keys))
+    return _stitched(runs) if whole else runs
 
 
 def pending(records: DataFrame, processed: DataFrame, group: Column, seq: Column) -> DataFrame:
@@ -128,7 +127,7 @@ def pending(records: DataFrame, processed: DataFrame, group: Column, seq: Column
     Gaps are disjoint and clipped to blocks, so a row meets at most one: the join is an equi-join
     on (group, block), not a range join, and a hot group is spread by block.
     """
-    gaps = _gaps(intervals_of(records, group, seq), processed).select(
+    gaps = subtract_intervals(intervals_of(records, group, seq, whole=False), processed, whole=False).select(
         F.col("group_key").alias("_cl_group"), F.col("_cl_block").alias("_cl_gblock"), F.col("lo").alias("_cl_lo"), F.col("hi").alias("_cl_hi")
     )
     keyed = records.withColumns({"_cl_rgroup": group.cast("string"), "_cl_rseq": seq.cast("long")}).where("_cl_rgroup IS NOT NULL AND _cl_rseq IS NOT NULL")

@@ -98,7 +98,7 @@ def test_records_that_share_a_commit_number_are_told_apart_by_their_own(spark, t
     assert sorted(r["change_id"] for r in runner.committed().collect()) == [10, 11, 12]
 
 
-@pytest.mark.parametrize("name", ["intervals_of", "_gaps", "pending"])
+@pytest.mark.parametrize("name", ["intervals_of", "subtract_intervals", "pending"])
 def test_pending_changes_come_from_the_intervals(spark, monkeypatch, name):
     monkeypatch.setattr(inc, name, lambda *a, **k: (_ for _ in ()).throw(AssertionError(name)))
     with pytest.raises(AssertionError, match=name):
