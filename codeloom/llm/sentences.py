@@ -14,8 +14,9 @@ the sentence ends.
   characters ends a sentence.
 
 The dictionary holds the words listed here and the words of two or more characters of the vocabulary
-file ``LEXICON`` (a parameter; where the file is missing, the listed words alone). Khmer and Burmese
-are cut at their terminators only, Lao and Tibetan at blank lines only.
+file ``LEXICON`` (a parameter). Every worker needs the file: where it is missing, damaged or without
+such words, a text with a spaceless run is an error, as other words would give other units. Khmer and
+Burmese are cut at their terminators only, Lao and Tibetan at blank lines only.
 
 Defined results: null, empty and blank texts have no units; a unit ends with its last non-blank
 character; a fence that is never closed runs to the end of the text; equal rows give equal units.
@@ -25,7 +26,6 @@ Input columns keep their names; ``units`` is an array of (sent_start, sent_end)
 from __future__ import annotations
 
 import base64
-import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -71,19 +71,28 @@ LEXICON = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 @lru_cache(maxsize=4)
 def dictionary(path: str, own: frozenset) -> tuple[dict[str, float], int]:
     """Costs of the dictionary's words, and the length of the longest. A listed word costs 1, a word
-    of the vocabulary 1.2, a single character that is no word 1.1."""
+    of the vocabulary 1.2, a single character that is no word 1.1. Raises an error where the file is
+    missing, a line is not a word with its rank, or none is a word of a spaceless script."""
     costs = {}
-    if os.path.exists(path):
-        with open(path, "rb") as lines:
-            for line in lines:
-                try:
-                    word = base64.b64decode(line.split()[0]).decode()
-                except (ValueError, IndexError):
-                    continue
-                if len(word) > 1 and _RUN.fullmatch(word):
-                    costs[word] = 1.2
+    with open(path, "rb") as lines:
+        for number, line in enumerate(lines, 1):
+            if not line.strip():
+                continue
+            try:
+                token, rank = line.split()
+                entry, _ = base64.b64decode(token, validate=True), int(rank)
+            except ValueError as error:
+                raise ValueError(f"{path}, line {number}: not a word and its rank") from error
+            try:
+                word = entry.decode()
+            except UnicodeDecodeError:  # a part of a character, which is a token but no word
+                continue
+            if len(word) > 1 and _RUN.fullmatch(word):
+                costs[word] = 1.2
+    if not costs:
+        raise ValueError(f"{path}: no words of spaceless scripts")
     costs.update(dict.fromkeys(own, 1.0))
-    return costs, max(map(len, costs), default=1)
+    return costs, max(map(len, costs))
 
 
 _RUN = re.compile(r"[\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f]+")

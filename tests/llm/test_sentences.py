@@ -1,3 +1,5 @@
+import base64
+
 import pytest
 
 from codeloom.llm import sentences as S
@@ -67,6 +69,45 @@ def test_lattice_prefers_dictionary_words():
     assert S.word_lattice("") == ()
 
 
+def _lexicon(path, *lines):
+    path.write_bytes(b"".join(line + b"\n" for line in lines))
+    return str(path)
+
+
+def _line(word, rank):
+    return base64.b64encode(word) + b" %d" % rank
+
+
+def test_a_missing_or_damaged_vocabulary_is_an_error(tmp_path):
+    good = _line("索引".encode(), 0)
+    with pytest.raises(FileNotFoundError):
+        S.dictionary(str(tmp_path / "none"), S._FINALS)
+    for k, damaged in enumerate([good[:-2], b"*** 1", good[:-3] + b" 1", good + b" 7", good + b"x"]):
+        path = _lexicon(tmp_path / f"damaged{k}", good, damaged)
+        with pytest.raises(ValueError, match=f"damaged{k}, line 2"):
+            S.dictionary(path, S._FINALS)
+    for k, lines in enumerate([[], [b""], [_line(b"ab", 0)]]):
+        with pytest.raises(ValueError, match="no words"):
+            S.dictionary(_lexicon(tmp_path / f"empty{k}", *lines), S._FINALS)
+
+
+def test_a_vocabulary_has_parts_of_characters_that_are_no_words(tmp_path):
+    path = _lexicon(tmp_path / "good", _line(b"\xe7\xb4", 0), _line("索".encode(), 1), b"", _line("索引".encode(), 2), _line(b"ab", 3))
+    assert S.dictionary(path, frozenset(["的"])) == ({"索引": 1.2, "的": 1.0}, 2)
+
+
+def test_a_missing_vocabulary_gives_no_units(monkeypatch, tmp_path):
+    """The words of the file decide here: an opening word is cut off only where no longer word holds it."""
+    text = "你好吗这个索引很慢。"
+    assert units(text) == [text]
+    S.word_lattice.cache_clear()
+    monkeypatch.setattr(S, "LEXICON", str(tmp_path / "none"))
+    for _ in range(2):
+        with pytest.raises(FileNotFoundError):
+            units(text)
+    assert units("No spaceless run. No dictionary.") == ["No spaceless run.", "No dictionary."]
+
+
 UNMARKED = "今天天气很好吗我们去公园吧然后回家。"
 
 
